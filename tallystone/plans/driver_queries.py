@@ -1,11 +1,467 @@
-"""Queries over the driver's tables and their DuckDB counterparts."""
+"""Queries over the driver's tables and their DuckDB counterparts.
+
+The tables stand for two states: a destination is a deterministic change of the source.
+"""
 
 from __future__ import annotations
 
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallystone.functions import paths, text
+from tallystone.operators import classify, content, keying, leafdirs, records, stats
+from tallystone.plans import reconcile
+from tallystone.sources import adapter, cache, export, tree
+from tallystone.spec import Mode, Status
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- documents against a changed copy ------------------------------------------------------------
+
+
+def doc_sides(spark: SparkSession, sf_dir: str, digests: bool = True) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    body = F.coalesce(F.col("text"), F.lit(""))
+    size = F.octet_length(body).cast("long")
+    number = F.col("doc_id").cast("string")
+    payload = [body] if digests else None
+    source = adapter.table_entries(docs.where(F.col("doc_id") % 11 != 0), ["source", "lang", F.concat(F.lit("D"), number)], size, payload, seq="doc_id")
+    changed = F.when(F.col("doc_id") % 5 == 0, F.lit("x")).otherwise(body)
+    dest = adapter.table_entries(docs.where(F.col("doc_id") % 13 != 0), [F.lower("source"), "lang", F.concat(F.lit("d"), number)], size + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0), [changed] if digests else None, seq="doc_id")
+    return source, dest
+
+
+_DOC_SIDES = r"""
+s AS (SELECT doc_id, upper(concat_ws('\', source, lang, 'D' || doc_id)) AS key, concat_ws('\', source, lang, 'D' || doc_id) AS path,
+             CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, sha256(coalesce(text, '')) AS digest FROM documents WHERE doc_id % 11 <> 0),
+d AS (SELECT doc_id, upper(concat_ws('\', lower(source), lang, 'd' || doc_id)) AS key, concat_ws('\', lower(source), lang, 'd' || doc_id) AS path,
+             CAST(strlen(coalesce(text, '')) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS size,
+             sha256(CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE coalesce(text, '') END) AS digest FROM documents WHERE doc_id % 13 <> 0)
+"""
+
+
+def _doc_status(mode: Mode) -> str:
+    size = "" if mode == Mode.PRESENCE else "WHEN s.size <> d.size THEN 'SizeMismatch'"
+    digest = "WHEN s.digest <> d.digest THEN 'ContentMismatch'" if mode == Mode.CONTENT else ""
+    return f"""
+WITH {_DOC_SIDES}, c AS (
+  SELECT coalesce(s.key, d.key) AS key, coalesce(d.path, s.path) AS relative_path,
+         coalesce(s.size, 0) AS size_source, coalesce(d.size, 0) AS size_dest, s.digest AS hs, d.digest AS hd,
+         CASE WHEN d.key IS NULL THEN 'Missing' WHEN s.key IS NULL THEN 'Extra' {size} {digest} ELSE 'Identical' END AS status
+  FROM s FULL JOIN d ON s.key = d.key)
+"""
+
+
+def _diff(mode: Mode):
+    def query(spark, sf_dir):
+        results, _ = reconcile.reconcile(*doc_sides(spark, sf_dir, mode == Mode.CONTENT), mode)
+        return results.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("size_source").alias("bytes_source"), F.sum("size_dest").alias("bytes_dest"))
+
+    return query, _doc_status(mode) + "SELECT status, count(*) AS n, CAST(sum(size_source) AS BIGINT) AS bytes_source, CAST(sum(size_dest) AS BIGINT) AS bytes_dest FROM c GROUP BY status"
+
+
+def problem_rows(spark, sf_dir):
+    results, _ = reconcile.reconcile(*doc_sides(spark, sf_dir), Mode.CONTENT)
+    return reconcile.problems(results).select("status", "relative_path", "size_source", "size_dest", text.hex_digest(F.col("hash_source")).alias("hash_source"), text.hex_digest(F.col("hash_dest")).alias("hash_dest"))
+
+
+_PROBLEM_ROWS = _doc_status(Mode.CONTENT) + """SELECT status, relative_path, size_source, size_dest,
+  CASE WHEN status = 'ContentMismatch' THEN hs ELSE '' END AS hash_source, CASE WHEN status = 'ContentMismatch' THEN hd ELSE '' END AS hash_dest FROM c WHERE status <> 'Identical'"""
+
+
+def stats_counters(spark, sf_dir):
+    return reconcile.reconcile(*doc_sides(spark, sf_dir), Mode.CONTENT)[1]
+
+
+_STATS = _doc_status(Mode.CONTENT) + """, z AS (SELECT CAST(0 AS BIGINT) AS zero)
+SELECT (SELECT count(*) FROM s) AS source_files, zero AS source_dirs, (SELECT count(*) FROM d) AS dest_files, zero AS dest_dirs,
+  count(*) FILTER (status = 'Identical') AS identical_files, zero AS identical_dirs, count(*) FILTER (status = 'Missing') AS missing_files, zero AS missing_dirs,
+  count(*) FILTER (status = 'Extra') AS extra_files, zero AS extra_dirs, count(*) FILTER (status = 'SizeMismatch') AS size_mismatch,
+  count(*) FILTER (status = 'ContentMismatch') AS content_mismatch, zero AS read_errors, zero AS access_denied, zero AS changed_during_scan,
+  (SELECT CAST(sum(size) AS BIGINT) FROM s) AS bytes_source, (SELECT CAST(sum(size) AS BIGINT) FROM d) AS bytes_dest
+FROM c, z GROUP BY zero"""
+
+
+def errors_total(spark, sf_dir):
+    return stats.errors_total(stats_counters(spark, sf_dir))
+
+
+# --- missing and extra rows of a table -----------------------------------------------------------
+
+
+def order_results(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    rows = adapter.table_entries(orders, [F.col("o_orderkey")], seq="o_orderkey")
+    number = F.col("relative_path").cast("long")
+    return reconcile.reconcile(rows.where(number % 17 != 0), rows.where(number % 19 != 0), Mode.PRESENCE)[0]
+
+
+def _order_rows(status: Status):
+    return lambda spark, sf_dir: order_results(spark, sf_dir).where(F.col("status") == status.value).select(F.col("relative_path").cast("long").alias("o_orderkey"))
+
+
+# --- repeated keys, case, types ------------------------------------------------------------------
+
+
+def _text_entries(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return adapter.table_entries(docs.where("text is not null"), F.concat(F.when(F.col("doc_id") % 2 == 0, "T").otherwise("t"), F.md5(F.substring("text", 1, 40).cast("binary"))), F.octet_length("text"), seq="doc_id")
+
+
+def dedupe_last_wins(spark, sf_dir):
+    return keying.last_wins(keying.keyed(_text_entries(spark, sf_dir))).select("key", "size", F.col("seq").alias("doc_id"))
+
+
+def dest_duplicates_extra(spark, sf_dir):
+    rows = _text_entries(spark, sf_dir)
+    results, _ = reconcile.reconcile(rows.where(F.col("seq") % 2 == 0), rows, Mode.PRESENCE)
+    return results.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("size_dest").alias("bytes_dest"))
+
+
+_TEXT_KEYS = "t AS (SELECT doc_id, strlen(text) AS size, upper('T' || md5(substr(text, 1, 40))) AS key FROM documents WHERE text IS NOT NULL)"
+
+
+def case_sensitive_vs_fold(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer")
+    source = adapter.table_entries(rows, [F.col("c_name")], seq="c_custkey")
+    dest = adapter.table_entries(rows, F.when(F.col("c_custkey") % 3 == 0, F.lower("c_name")).otherwise(F.col("c_name")), seq="c_custkey")
+    parts = [reconcile.reconcile(source, dest, Mode.PRESENCE, exact)[0].groupBy("status").agg(F.count(F.lit(1)).alias("n")).withColumn("case_sensitive", F.lit(exact)) for exact in (False, True)]
+    return parts[0].unionByName(parts[1])
+
+
+def type_conflict(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    entries = lambda is_dir: adapter.table_entries(docs, [F.col("source"), F.col("doc_id")], "n_chars", seq="doc_id", is_directory=is_dir)
+    results, _ = reconcile.reconcile(entries(F.col("doc_id") % 6 == 0), entries(F.col("doc_id") % 4 == 0), Mode.PRESENCE)
+    return results.groupBy("status", "is_directory").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- directories of page addresses ---------------------------------------------------------------
+
+
+def _page_entries(spark, sf_dir) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").where("url is not null")
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "/+$", "")
+    files = pages.select(path.alias("path"), "page_id")
+    dirs = files.select(F.explode(paths.ancestors(F.col("path"), "/")).alias("path"), "page_id").groupBy("path").agg(F.min("page_id").alias("page_id")).withColumn("is_dir", F.lit(True))
+    files = files.groupBy("path").agg(F.min("page_id").alias("page_id")).join(dirs.select("path"), "path", "left_anti").withColumn("is_dir", F.lit(False))
+    return adapter.table_entries(files.unionByName(dirs), F.col("path"), seq="page_id", is_directory=F.col("is_dir"))
+
+
+def _leaf_dirs(status: Status):
+    def query(spark, sf_dir):
+        rows = fixed_pages = _page_entries(spark, sf_dir)
+        part = rows.where(F.col("seq") % 3 != 0)
+        sides = (fixed_pages, part) if status == Status.MISSING else (part, fixed_pages)
+        results, _ = reconcile.reconcile(*sides, Mode.PRESENCE, True)
+        return leafdirs.without_descendants(results.where(F.col("status") == status.value), "/").select("relative_path", "is_directory")
+
+    return query
+
+
+_LEAF_DIRS = """
+WITH f AS (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/+$', '') AS path, page_id FROM pages WHERE url IS NOT NULL),
+p AS (SELECT path, page_id, string_split(path, '/') AS parts FROM f),
+dirs AS (SELECT array_to_string(parts[1:i], '/') AS path, min(page_id) AS page_id FROM p, unnest(range(1, len(parts))) AS r(i) GROUP BY 1),
+rows_ AS (SELECT path, page_id, true AS is_directory FROM dirs
+          UNION ALL SELECT path, min(page_id), false FROM f WHERE path NOT IN (SELECT path FROM dirs) GROUP BY path),
+gone AS (SELECT * FROM rows_ WHERE page_id % 3 = 0)
+SELECT path AS relative_path, is_directory FROM gone g
+WHERE NOT is_directory OR NOT EXISTS (SELECT 1 FROM gone h WHERE starts_with(h.path, g.path || '/'))
+"""
+
+
+# --- digests, snapshots, changes -----------------------------------------------------------------
+
+
+def cache_hit_join(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    files = docs.select(F.concat(F.lit("/c/"), F.col("doc_id")).alias("abs_path"), F.col("n_chars").alias("size"), (F.col("doc_id") * 10).alias("last_write_time"))
+    kept = files.where("last_write_time % 30 <> 0").select("abs_path", F.when(F.col("last_write_time") % 70 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "last_write_time").withColumn("digest", F.unhex(F.sha2(F.col("abs_path").cast("binary"), 256)))
+    hit = files.join(kept, list(cache.KEYS), "left")
+    return hit.agg(F.count_if(F.col("digest").isNotNull()).alias("hits"), F.count_if(F.col("digest").isNull()).alias("misses"))
+
+
+def offline_digest_compare(spark, sf_dir):
+    source, dest = doc_sides(spark, sf_dir)
+    # Every third file of the snapshot could not be hashed.
+    source = source.withColumn("digest", F.when(F.col("seq") % 3 == 0, None).otherwise(F.col("digest")))
+    results, _ = reconcile.reconcile(source, dest, Mode.CONTENT)
+    return results.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def degrade_to_size(spark, sf_dir):
+    source, dest = doc_sides(spark, sf_dir, digests=False)
+    mode = Mode.CONTENT if not source.where(F.col("digest").isNotNull()).isEmpty() else Mode.SIZE
+    results, _ = reconcile.reconcile(source, dest, mode)
+    return results.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def changed_during_scan(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    entries = adapter.table_entries(orders, [F.col("o_orderkey")], F.lit(8), [F.col("o_orderpriority")], seq="o_orderkey")
+    source = entries.withColumn("changed", F.col("seq") % 23 == 0)
+    dest = entries.withColumn("changed", F.col("seq") % 29 == 0).withColumn("content_state", F.when(F.col("seq") % 31 == 0, "no_access").when(F.col("seq") % 37 == 0, "read_error").otherwise("ok"))
+    results, _ = reconcile.reconcile(source, dest, Mode.CONTENT)
+    return results.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def problem_filter_errors(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    errors = docs.where(F.col("doc_id") % 9 == 0).select(F.concat(F.lit("e"), F.col("doc_id")).alias("path"), F.lit("denied").alias("message"), F.when(F.col("doc_id") % 2 == 0, 5).otherwise(32).alias("code"), F.lit(False).alias("lost_device"))
+    results = reconcile.reconcile(*doc_sides(spark, sf_dir), Mode.CONTENT)[0].unionByName(classify.errors_as_rows(errors))
+    return reconcile.filtered(reconcile.problems(results), "errors").select("status", "relative_path", "error_message", "is_directory")
+
+
+def limit_problems(spark, sf_dir):
+    results, _ = reconcile.reconcile(*doc_sides(spark, sf_dir), Mode.CONTENT)
+    return reconcile.problems(results).orderBy("ord", "key").limit(25).select("status", "relative_path")
+
+
+# --- scalar functions ----------------------------------------------------------------------------
+
+
+def csv_cell_escape(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    cell = F.concat(F.element_at(F.array(*map(F.lit, ("", "=", "+", "-", "@", "\t"))), (F.col("doc_id") % 6 + 1).cast("int")), "text")
+    return docs.select("doc_id", text.csv_cell(cell).alias("cell"))
+
+
+def json_cell_escape(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    cell = F.concat("text", F.lit('"\\\b\f\r\t'), F.lit("\x01"))
+    return docs.select("doc_id", text.json_cell(cell).alias("cell"))
+
+
+def hex_digest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.hex_digest(F.when(F.col("doc_id") % 2 == 0, F.unhex(F.sha2("text", 256)))).alias("digest"))
+
+
+def status_token(spark, sf_dir):
+    return reconcile.reconcile(*doc_sides(spark, sf_dir), Mode.CONTENT)[0].groupBy(text.status_token(F.col("status")).alias("token")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pages_path(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.element_at(F.array(*map(F.lit, ("C:\\", "\\\\?\\C:\\", "\\\\?\\UNC\\", "\\\\"))), (F.col("page_id") % 4 + 1).cast("int")), F.replace("url", F.lit("/"), F.lit("\\"))).alias("path"))
+
+
+_PAGES_PATH = r"""p AS (SELECT page_id, (['C:\', '\\?\C:\', '\\?\UNC\', '\\'])[CAST(page_id % 4 + 1 AS INTEGER)] || replace(url, '/', '\') AS path FROM pages)"""
+_NORMAL = r"""CASE WHEN starts_with(path, '\\?\UNC\') THEN '\\' || substr(path, 9) WHEN starts_with(path, '\\?\') THEN substr(path, 5) ELSE path END"""
+
+
+def norm_root(spark, sf_dir):
+    return _pages_path(spark, sf_dir).select("page_id", paths.normalize_root(F.col("path")).alias("root"))
+
+
+def join_rel(spark, sf_dir):
+    rows = _pages_path(spark, sf_dir)
+    parent = F.when(F.col("page_id") % 5 == 0, "").otherwise(F.col("path"))
+    return rows.select("page_id", paths.join_rel(parent, F.lit("x")).alias("joined"), paths.make_absolute(F.col("path"), F.when(F.col("page_id") % 5 == 0, "").otherwise(F.lit("y"))).alias("absolute"))
+
+
+def long_prefix(spark, sf_dir):
+    return _pages_path(spark, sf_dir).select("page_id", paths.add_long_path_prefix(F.col("path")).alias("prefixed"))
+
+
+def base_name(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", paths.base_name(F.col("url")).alias("name"))
+
+
+def fold_names(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", paths.fold(F.lower("c_name")).alias("folded"))
+
+
+def disconnect_predicate(spark, sf_dir):
+    codes = table(spark, sf_dir, "part").select((F.col("p_partkey") % 1300).alias("code")).distinct()
+    return codes.select("code", text.is_disconnect(F.col("code")).alias("lost"))
+
+
+def io_class(spark, sf_dir):
+    rows = _pages_path(spark, sf_dir)
+    return rows.select("page_id", text.io_class(F.col("path"), F.when(F.col("page_id") % 3 == 0, "/mnt/x").otherwise("D:\\x")).alias("io_class"), paths.is_unc(F.col("path")).alias("unc"))
+
+
+def group_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.group_thousands_col(F.col("o_orderkey") * 1003).alias("grouped"))
+
+
+# --- merges and record graphs --------------------------------------------------------------------
+
+
+def merge_compare(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    key = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    side = lambda keep, extra: adapter.table_entries(lines.where(keep).groupBy(key.alias("k")).agg(F.max("l_quantity").alias("q")), F.col("k"), F.col("q").cast("long") + extra)
+    results, _ = reconcile.reconcile(side(F.col("l_partkey") % 10 != 0, 0), side(F.col("l_suppkey") % 7 != 0, F.when(F.col("q") == 13, 1).otherwise(0)), Mode.SIZE, True)
+    only = lambda s: F.count_if(F.col("status") == s.value)
+    return results.agg(only(Status.MISSING).alias("only_left"), only(Status.EXTRA).alias("only_right"), only(Status.SIZE_MISMATCH).alias("mismatched"))
+
+
+_MERGE = """
+WITH l AS (SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k, max(l_quantity)::BIGINT AS q FROM lineitem WHERE l_partkey % 10 <> 0 GROUP BY 1),
+r AS (SELECT k, q + CASE WHEN q = 13 THEN 1 ELSE 0 END AS q FROM (SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k, max(l_quantity)::BIGINT AS q FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY 1))
+SELECT count(*) FILTER (r.k IS NULL) AS only_left, count(*) FILTER (l.k IS NULL) AS only_right, count(*) FILTER (l.k = r.k AND l.q <> r.q) AS mismatched FROM l FULL JOIN r ON l.k = r.k
+"""
+
+
+def _records(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("record"), F.col("n_regionkey").cast("long").alias("parent"), F.col("n_name").alias("name"))
+    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("record"), F.lit(-1).cast("long").alias("parent"), F.col("r_name").alias("name"))
+    return nations.unionByName(regions)
+
+
+_RECORDS = "rec AS (SELECT n_nationkey + 100 AS record, n_regionkey AS parent, n_name AS name FROM nation UNION ALL SELECT r_regionkey, -1, r_name FROM region)"
+
+
+def reverse_index(spark, sf_dir):
+    return records.reverse_index(_records(spark, sf_dir)).select("parent", F.array_join("children", ",").alias("children"))
+
+
+def tree_walk(spark, sf_dir):
+    return records.walk(_records(spark, sf_dir), -1)
+
+
+def parent_chain(spark, sf_dir):
+    rows = _records(spark, sf_dir).withColumn("sequence", F.col("record") % 3).withColumn("parent_sequence", F.when(F.col("record") % 4 == 0, F.lit(9)).otherwise(F.col("parent") % 3))
+    return records.parent_chain(rows, rows.where("record >= 100"), -1)
+
+
+def split_ref(spark, sf_dir):
+    ref = F.shiftleft((F.col("o_custkey") % 30000).cast("long"), 48).bitwiseOR(F.col("o_orderkey"))
+    record, sequence = records.split_ref(ref)
+    return table(spark, sf_dir, "orders").select("o_orderkey", record.alias("record"), sequence.cast("long").alias("sequence"))
+
+
+def _runs(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("i")).agg(F.max(F.col("l_quantity").cast("long")).alias("length"), F.max(F.col("l_partkey") - F.col("l_suppkey")).alias("delta"))
+
+
+def data_runs(spark, sf_dir):
+    return records.extents(_runs(spark, sf_dir))
+
+
+_RUNS = """r AS (SELECT l_orderkey AS file, l_linenumber AS i, max(l_quantity::BIGINT) AS length, max(l_partkey - l_suppkey) AS delta FROM lineitem GROUP BY 1, 2),
+e AS (SELECT file, i, coalesce(sum(length) OVER (PARTITION BY file ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS vcn, (sum(delta) OVER (PARTITION BY file ORDER BY i))::BIGINT AS lcn, length FROM r)"""
+
+
+def extent_containment(spark, sf_dir):
+    points = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), (F.col("o_custkey") % 60).alias("cluster"))
+    return records.containing_extent(points, data_runs(spark, sf_dir), 16).select("file", "cluster", "i", "absolute")
+
+
+def children_union(spark, sf_dir):
+    rows = _records(spark, sf_dir).withColumn("sequence", F.col("record") % 3)
+    index = rows.where("record % 5 <> 0").select("parent", "record", F.when(F.col("record") % 7 == 0, F.lit(9)).otherwise(F.col("sequence")).alias("sequence"))
+    said = rows.select((F.col("parent") + 1000).alias("parent"), "record", "sequence")
+    return records.children(index, said, rows.withColumn("in_use", F.col("record") % 11 != 0))[0]
+
+
+_CHILDREN = f"""WITH {_RECORDS}, x AS (SELECT *, record % 3 AS sequence FROM rec), live AS (SELECT * FROM x WHERE record % 11 <> 0),
+i AS (SELECT parent, record FROM live WHERE record % 5 <> 0 AND record % 7 <> 0)
+SELECT record, parent, 0 AS origin FROM i UNION ALL SELECT record, parent + 1000, 1 FROM live WHERE record NOT IN (SELECT record FROM i)"""
+
+
+def picked_names(spark, sf_dir):
+    names = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record"), F.col("l_suppkey").alias("parent"), (F.col("l_linenumber") % 4).alias("space"), F.concat(F.lit("n"), F.col("l_partkey")).alias("name")).groupBy("record", "space", "name").agg(F.min("parent").alias("parent"))
+    return records.picked_names(names.select("record", "parent", "space", "name")).select("record", F.col("space").cast("int").alias("space"), "name")
+
+
+# --- real files ----------------------------------------------------------------------------------
+
+
+def _small_tree() -> str:
+    root = tempfile.mkdtemp(prefix="tallystone-tree-")
+    for name, data in {".hidden": b"h", "a/b/c.txt": b"abc", "a/.x/_y": b"", "z.bin": b"\0" * 10}.items():
+        os.makedirs(os.path.dirname(os.path.join(root, name)), exist_ok=True)
+        with open(os.path.join(root, name), "wb") as f:
+            f.write(data)
+    os.makedirs(os.path.join(root, "empty"))
+    return root
+
+
+def tree_scan(spark, sf_dir):
+    return tree.scan(spark, _small_tree())[0].select("relative_path", "size", "is_directory")
+
+
+def tree_digests(spark, sf_dir):
+    root = _small_tree()
+    entries, _ = tree.scan(spark, root)
+    files = entries.where("not is_directory").select(F.concat(F.lit(root + "/"), "relative_path").alias("abs_path"), "size", "last_write_time")
+    return content.digests(files).select(paths.base_name(F.col("abs_path")).alias("name"), text.hex_digest(F.col("digest")).alias("digest"), "content_state", "changed")
+
+
+def _export_lines(line):
+    return lambda spark, sf_dir: reconcile.problems(reconcile.reconcile(*doc_sides(spark, sf_dir), Mode.CONTENT)[0]).select(line().alias("line"))
+
+
+_STATUS_COUNTS = "SELECT status, count(*) AS n FROM c GROUP BY status"
+_TOKENS = " ".join(f"WHEN '{s.value}' THEN '{t}'" for s, t in text.STATUS_TOKENS.items())
+_CSV_PATH = """CASE WHEN regexp_matches(relative_path, '[,"]') THEN '"' || replace(relative_path, '"', '""') || '"' ELSE relative_path END"""
+
+
+def _catalog() -> dict[str, tuple]:
+    presence, size, full = (_diff(m) for m in (Mode.PRESENCE, Mode.SIZE, Mode.CONTENT))
+    return {
+        "diff_presence": presence,
+        "diff_size": size,
+        "diff_content": full,
+        "problem_rows": (problem_rows, _PROBLEM_ROWS),
+        "stats_counters": (stats_counters, _STATS),
+        "errors_total": (errors_total, "SELECT CAST(0 AS BIGINT) AS errors"),
+        "missing_rows": (_order_rows(Status.MISSING), "SELECT o_orderkey FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 19 = 0"),
+        "extra_rows": (_order_rows(Status.EXTRA), "SELECT o_orderkey FROM orders WHERE o_orderkey % 17 = 0 AND o_orderkey % 19 <> 0"),
+        "dedupe_last_wins": (dedupe_last_wins, f"WITH {_TEXT_KEYS} SELECT key, CAST(arg_max(size, doc_id) AS BIGINT) AS size, max(doc_id) AS doc_id FROM t GROUP BY key"),
+        "dest_duplicates_extra": (dest_duplicates_extra, f"WITH {_TEXT_KEYS}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS rn FROM t), r AS (SELECT CASE WHEN rn = 1 AND key IN (SELECT key FROM t WHERE doc_id % 2 = 0) THEN 'Identical' ELSE 'Extra' END AS status, size FROM n) SELECT status, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes_dest FROM r GROUP BY status"),
+        "case_sensitive_vs_fold": (case_sensitive_vs_fold, "SELECT 'Identical' AS status, count(*) AS n, false AS case_sensitive FROM customer UNION ALL SELECT 'Identical', count(*), true FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT s, count(*), true FROM customer, (VALUES ('Missing'), ('Extra')) v(s) WHERE c_custkey % 3 = 0 GROUP BY s"),
+        "type_conflict": (type_conflict, "SELECT CASE WHEN (doc_id % 6 = 0) <> (doc_id % 4 = 0) THEN 'SizeMismatch' ELSE 'Identical' END AS status, doc_id % 6 = 0 AND doc_id % 4 = 0 AS is_directory, count(*) AS n FROM documents GROUP BY ALL"),
+        "leaf_missing_dirs": (_leaf_dirs(Status.MISSING), _LEAF_DIRS),
+        "leaf_extra_dirs": (_leaf_dirs(Status.EXTRA), _LEAF_DIRS),
+        "cache_hit_join": (cache_hit_join, "SELECT count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 7 <> 0) AS hits, count(*) FILTER (NOT (doc_id % 3 <> 0 AND doc_id % 7 <> 0)) AS misses FROM documents WHERE doc_id IS NOT NULL"),
+        "offline_digest_compare": (offline_digest_compare, _doc_status(Mode.CONTENT).replace("WHEN s.digest <> d.digest", "WHEN s.doc_id % 3 = 0 THEN 'ReadError' WHEN s.digest <> d.digest") + _STATUS_COUNTS),
+        "degrade_to_size": (degrade_to_size, _doc_status(Mode.SIZE) + _STATUS_COUNTS),
+        "changed_during_scan": (changed_during_scan, "SELECT CASE WHEN o_orderkey % 23 = 0 OR o_orderkey % 29 = 0 THEN 'ChangedDuringScan' WHEN o_orderkey % 31 = 0 THEN 'AccessDenied' WHEN o_orderkey % 37 = 0 THEN 'ReadError' ELSE 'Identical' END AS status, count(*) AS n FROM orders GROUP BY 1"),
+        "problem_filter_errors": (problem_filter_errors, "SELECT CASE WHEN doc_id % 2 = 0 THEN 'AccessDenied' ELSE 'ReadError' END AS status, 'e' || doc_id AS relative_path, 'denied' AS error_message, true AS is_directory FROM documents WHERE doc_id % 9 = 0"),
+        "limit_problems": (limit_problems, _doc_status(Mode.CONTENT) + "SELECT status, relative_path FROM c WHERE status <> 'Identical' ORDER BY CASE status WHEN 'Extra' THEN 0 WHEN 'SizeMismatch' THEN 1 WHEN 'Missing' THEN 2 ELSE 4 END, key LIMIT 25"),
+        "csv_cell_escape": (csv_cell_escape, r"""WITH t AS (SELECT doc_id, (['', '=', '+', '-', '@', chr(9)])[CAST(doc_id % 6 + 1 AS INTEGER)] || text AS c FROM documents)
+SELECT doc_id, CASE WHEN left(c, 1) IN ('=', '+', '-', '@', chr(9), chr(13), chr(12)) THEN '"''' || replace(c, '"', '""') || '"' WHEN contains(c, ',') OR contains(c, '"') OR contains(c, chr(10)) OR contains(c, chr(13)) THEN '"' || replace(c, '"', '""') || '"' ELSE c END AS cell FROM t"""),
+        "json_cell_escape": (json_cell_escape, r"""WITH t AS (SELECT doc_id, text || '"\' || chr(8) || chr(12) || chr(13) || chr(9) || chr(1) AS c FROM documents)
+SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(c, '\', '\\'), '"', '\"'), chr(8), '\b'), chr(12), '\f'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t'), chr(1), '\u0001') AS cell FROM t"""),
+        "hex_digest": (hex_digest, "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN coalesce(sha256(text), '') ELSE '' END AS digest FROM documents"),
+        "status_token": (status_token, _doc_status(Mode.CONTENT) + f"SELECT CASE status {_TOKENS} END AS token, count(*) AS n FROM c GROUP BY 1"),
+        "norm_root": (norm_root, rf"WITH {_PAGES_PATH}, n AS (SELECT page_id, {_NORMAL} AS r FROM p) SELECT page_id, CASE WHEN length(r) > 3 THEN substr(r, 1, 3) || rtrim(substr(r, 4), '\') WHEN r = '\\' THEN '\' ELSE r END AS root FROM n"),
+        "join_rel": (join_rel, rf"WITH {_PAGES_PATH} SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'x' ELSE path || '\x' END AS joined, CASE WHEN page_id % 5 = 0 THEN path ELSE path || '\y' END AS absolute FROM p"),
+        "long_prefix": (long_prefix, rf"WITH {_PAGES_PATH} SELECT page_id, CASE WHEN starts_with(path, '\\?\') THEN path WHEN starts_with(path, '\\') THEN '\\?\UNC\' || substr(path, 3) ELSE '\\?\' || path END AS prefixed FROM p"),
+        "base_name": (base_name, r"SELECT page_id, regexp_extract(url, '([^\\/]*)$', 1) AS name FROM pages"),
+        "fold_names": (fold_names, "SELECT c_custkey, upper(c_name) AS folded FROM customer"),
+        "disconnect_predicate": (disconnect_predicate, "SELECT DISTINCT p_partkey % 1300 AS code, p_partkey % 1300 IN (59, 64, 67, 995, 1167, 1222, 1231, 1236) AS lost FROM part"),
+        "io_class": (io_class, rf"WITH {_PAGES_PATH}, u AS (SELECT page_id, left(path, 1) IN ('\', '/') AS unc FROM p) SELECT page_id, CASE unc::INT + (page_id % 3 = 0)::INT WHEN 0 THEN 'LocalLocal' WHEN 1 THEN 'LocalNetwork' ELSE 'NetworkNetwork' END AS io_class, unc FROM u"),
+        "group_numbers": (group_numbers, "SELECT o_orderkey, replace(format('{:,}', o_orderkey * 1003), ',', '.') AS grouped FROM orders"),
+        "merge_compare": (merge_compare, _MERGE),
+        "reverse_index": (reverse_index, f"WITH {_RECORDS} SELECT CAST(parent AS BIGINT) AS parent, string_agg(record, ',' ORDER BY record) AS children FROM rec GROUP BY parent"),
+        "tree_walk": (tree_walk, rf"WITH {_RECORDS} SELECT CAST(record AS BIGINT) AS record, 1 AS depth, name AS path FROM rec WHERE parent = -1 UNION ALL SELECT CAST(c.record AS BIGINT), 2, p.name || '\' || c.name FROM rec c JOIN rec p ON c.parent = p.record"),
+        "parent_chain": (parent_chain, f"WITH {_RECORDS}, c AS (SELECT record, parent, CASE WHEN record % 4 = 0 THEN 9 ELSE parent % 3 END AS ps FROM rec WHERE record >= 100) SELECT CAST(record AS BIGINT) AS start, 1 AS step, CAST(parent AS BIGINT) AS record, CASE WHEN ps = parent % 3 THEN 'LIVE' ELSE 'STALE' END AS state FROM c UNION ALL SELECT CAST(record AS BIGINT), 2, CAST(-1 AS BIGINT), 'STALE' FROM c WHERE ps = parent % 3"),
+        "split_ref": (split_ref, "SELECT o_orderkey, o_orderkey AS record, o_custkey % 30000 AS sequence FROM orders"),
+        "data_runs": (data_runs, f"WITH {_RUNS} SELECT * FROM e"),
+        "extent_containment": (extent_containment, f"WITH {_RUNS}, q AS (SELECT o_orderkey AS file, o_custkey % 60 AS cluster FROM orders) SELECT q.file, q.cluster, e.i, e.lcn + q.cluster - e.vcn AS absolute FROM q JOIN e ON q.file = e.file AND q.cluster >= e.vcn AND q.cluster < e.vcn + e.length"),
+        "children_union": (children_union, _CHILDREN),
+        "picked_names": (picked_names, "WITH n AS (SELECT DISTINCT l_orderkey AS record, l_linenumber % 4 AS space, 'n' || l_partkey AS name FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY CASE space WHEN 1 THEN 0 WHEN 3 THEN 1 WHEN 0 THEN 2 ELSE 3 END, name) AS k FROM n) SELECT record, CAST(space AS INTEGER) AS space, name FROM r WHERE k = 1"),
+        "export_csv_lines": (_export_lines(export.csv_line), _doc_status(Mode.CONTENT) + f"SELECT concat_ws(',', CASE status {_TOKENS} END, {_CSV_PATH}, size_source, size_dest, CASE WHEN status = 'ContentMismatch' THEN hs ELSE '' END, CASE WHEN status = 'ContentMismatch' THEN hd ELSE '' END) AS line FROM c WHERE status <> 'Identical'"),
+        "export_json_lines": (_export_lines(export.json_line), _doc_status(Mode.CONTENT) + rf"""SELECT '{{"status":"' || CASE status {_TOKENS} END || '","path":"' || replace(relative_path, '\', '\\') || '","size_source":' || size_source || ',"size_destination":' || size_dest || ',"hash_source":"' || CASE WHEN status = 'ContentMismatch' THEN hs ELSE '' END || '","hash_destination":"' || CASE WHEN status = 'ContentMismatch' THEN hd ELSE '' END || '"}}' AS line FROM c WHERE status <> 'Identical'"""),
+        "tree_scan": (tree_scan, None),
+        "tree_digests": (tree_digests, None),
+    }
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _catalog().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _catalog().items() if sql is not None}
