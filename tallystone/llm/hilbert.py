@@ -75,8 +75,10 @@ def quantised(df: DataFrame, dims: Sequence[Dimension], bits: int) -> list[Colum
             continue
         skip = _common_prefix(lo, hi) if d.kind == "string" else 0
         first, last = _plain(d, lo, skip), _plain(d, hi, skip)
-        scaled = (_raw(d, skip) - first).cast("decimal(38,0)") * (2**bits - 1) / F.lit(last - first + 1).cast("decimal(20,0)") if d.kind == "linear" else F.floor((_raw(d, skip) - first) * (2**bits - 1) / F.lit(last - first + 1))
-        out.append(F.when(F.col(d.column).isNull(), 0).otherwise(1 + F.floor(scaled)).cast("long"))
+        # A string's code is below 2**48, so its product fits a long; linear ranges may not.
+        wide = "decimal(20,0)" if d.kind == "linear" else "long"
+        part = F.call_function("div", (_raw(d, skip).cast(wide) - F.lit(first).cast(wide)) * F.lit(2**bits - 1).cast("decimal(5,0)" if d.kind == "linear" else "long"), F.lit(last - first + 1).cast("decimal(20,0)" if d.kind == "linear" else "long"))
+        out.append(F.when(F.col(d.column).isNull(), 0).otherwise(1 + part).cast("long"))
     return out
 
 
