@@ -52,7 +52,7 @@ def test_recall_with_the_production_search(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=32).tolist()) for i in range(6000)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got, want = as_found(rpforest.nearest(df, F.expr(QUERY), search_rows=12_000)), exact(rows)
+    got, want = as_found(rpforest.nearest(df, F.expr(QUERY))), exact(rows)
     hits = sum(i in {got[q, r][0] for r in range(1, 11)} for (q, _), (i, _) in want.items())
     assert hits / len(want) >= 0.9
 
