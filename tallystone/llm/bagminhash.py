@@ -40,6 +40,8 @@ POSITIONS = BANDS * ROWS
 #: Points per position up to the first end time; 4 texts in a hundred then need a later one.
 DENSITY = 8.0
 CACHE_WORDS = 500_000
+#: Members of a bucket that are compared as one group.
+BLOCK = 500
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -232,6 +234,109 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "component")
 
 
+def cross_links(rows: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of similarity ``least`` or more between different components within a bucket, as
+    many as join these components, from rows (key, n, node, weight, far, component, text); n is the
+    number of rows of the key.
+
+    A bucket's members are compared where they are, so pairs are never rows. Buckets above ``block``
+    members are cut into blocks, and each pair of blocks is a group of its own.
+    """
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.select("*", other.alias("other")).select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "text", "node", "weight", "far", "component", "own")
+    group = ["key", "one", "two"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in common.slices(batches, 3):
+            doc, h, count = shingles(batch.column(3))
+            ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            out = []
+            for i, row in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5, 6, 7, 8)), strict=True)):
+                if row[:3] != at:
+                    out += _group_links(held, at, least)
+                    at, held = row[:3], []
+                held.append((*row[3:], h[ends[i] : ends[i + 1]].copy(), count[ends[i] : ends[i + 1]].copy()))
+            if out:
+                yield _links(out)
+        yield _links(_group_links(held, at, least))
+
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long")
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _group_links(rows: list[tuple], at: tuple | None, least: float) -> list[tuple[int, int]]:
+    """Links that join components of one group; rows are (node, weight, far, component, block, hashes,
+    counts). Sizes and distances to the bucket's first text rule pairs out before any comparison."""
+    if len(rows) < 2:
+        return []
+    node, weight, far, component, block = (np.array(c) for c in list(zip(*rows, strict=True))[:5])
+    size = np.minimum.outer(weight, weight) >= least * np.maximum.outer(weight, weight)
+    can = size & (np.abs(np.subtract.outer(far, far)) <= 1 - least + 1e-9) & (component[:, None] != component[None])
+    if at[1] != at[2]:
+        can &= block[:, None] != block[None]
+    one, two = np.nonzero(np.triu(can, 1))
+    if not len(one):
+        return []
+    if len(one) <= 4 * len(rows):
+        alike = np.array([similarity(rows[i][5:], rows[j][5:]) for i, j in zip(one, two, strict=True)]) >= least
+    else:
+        shared = _overlaps(rows)[one, two]
+        alike = shared / (weight[one] + weight[two] - shared) >= least
+    parent = {c: c for c in component.tolist()}
+    out = []
+    for i, j in zip(one[alike].tolist(), two[alike].tolist(), strict=True):
+        a, b = (_root(parent, int(component[k])) for k in (i, j))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def _root(parent: dict[int, int], c: int) -> int:
+    while parent[c] != c:
+        parent[c] = parent[parent[c]]
+        c = parent[c]
+    return c
+
+
+def _overlaps(rows: list[tuple], few: int = 16, columns: int = 4096) -> np.ndarray:
+    """sum(min) of all pairs. The c-th occurrence of a shingle is an element of its own, so overlaps
+    are counts of shared elements: matrix products for elements that many rows have, pairs of rows
+    for the others."""
+    m = len(rows)
+    owner = np.repeat(np.arange(m), [len(r[5]) for r in rows])
+    h, count = np.concatenate([r[5] for r in rows]), np.concatenate([r[6] for r in rows])
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    element = np.repeat(h, count) ^ _mixed(nth.astype(np.uint64))
+    owner = np.repeat(owner, count)
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    first = np.flatnonzero(np.diff(element, prepend=~element[:1]) != 0)
+    holders = np.diff(first, append=len(element))
+    out = np.zeros((m, m))
+    for f in range(2, few + 1):
+        begin = first[holders == f]
+        if len(begin):
+            who = owner[begin[:, None] + np.arange(f)]
+            i, j = np.triu_indices(f, 1)
+            out += np.bincount((who[:, i] * m + who[:, j]).ravel(), minlength=m * m).reshape(m, m)
+    out = out + out.T  # each pair was counted once, in either order
+    many = np.flatnonzero(holders > few)
+    for a in range(0, len(many), columns):
+        part = many[a : a + columns]
+        has = np.zeros((m, len(part)), np.float32)
+        at = np.repeat(first[part] - (np.cumsum(holders[part]) - holders[part]), holders[part]) + np.arange(int(holders[part].sum()))
+        has[owner[at], np.repeat(np.arange(len(part)), holders[part])] = 1
+        out += has @ has.T
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id long, class_id long (the class's least id), class_size long,
     text_hash string and kept boolean (the class's one document that stays).
@@ -245,8 +350,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.where(F.col("text_hash").isNotNull()).groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     nodes = common.written(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")
     placed = nodes.select(F.explode("bands").alias("key"), "node")
-    buckets = placed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where(F.col("leader") < F.col("last")).drop("last")
-    members = common.written(placed.join(buckets, "key"), "buckets")
+    buckets = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    shared = common.written(placed.join(buckets, "key"), "buckets")
+    # The member that shares most with others is the bucket's first text: an original comes before its copies.
+    weights = shared.groupBy("node").agg(F.sum("n").alias("degree"))
+    leaders = shared.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("leader"))
+    members = common.written(shared.select("key", "node").join(leaders, "key"), "members")
     stars = members.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     stars = common.written(stars, "stars")
 
@@ -268,19 +377,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links)
 
     # Members of one bucket that are in different classes yet: only links between them are missing.
-    sized = members.join(nodes.select("node", "weight"), "node").join(found, "node", "left")
+    sized = members.where(F.col("node") != F.col("leader")).join(nodes.select("node", "weight"), "node").join(found, "node", "left")
     distance = tested.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far"))
-    sized = sized.where(F.col("node") != F.col("leader")).join(distance, ["leader", "node"]).select("key", "node", "weight", "far", F.coalesce("component", "node").alias("component"))
-    mixed = sized.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+    sized = sized.join(distance, ["leader", "node"]).select("key", "node", "weight", "far", F.coalesce("component", "node").alias("component"))
+    mixed = sized.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key", "n")
     open_ = common.written(sized.join(mixed, "key"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    size = lambda a, b: F.col(f"{a}.weight") >= least * F.col(f"{b}.weight")
-    can = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - least + 1e-9) & size("x", "y") & size("y", "x")
-    rest = common.written(x.join(y, can).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = common.written(verified(with_texts(rest)), "tested").where(F.col("similarity") >= least)
+    if not open_.isEmpty():
+        more = common.written(cross_links(open_.join(held, "node"), least), "links")
         if not more.isEmpty():
-            found = components(links.unionByName(more))
+            found = components(links.select("a", "b").unionByName(more.select("a", "b")))
 
     classes = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_id = F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), F.col("text_hash").alias("hash")))
