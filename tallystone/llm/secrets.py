@@ -150,3 +150,38 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     out = scan(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_copied", "max_owners", "max_repos")
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for ``query``. Its ``(?i)`` folds beyond ASCII, so the words are spelled out."""
+    keys = "|".join(map(_either_case, ("password", "passwd", "secret", "token"))) + "|" + _either_case("api") + "_?" + _either_case("key")
+    assign = rf"""({keys})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    found = "\n  UNION ALL ".join(f"SELECT doc_id, source, repo, {kind} AS kind, string_split_regex(t, '{p}') AS p, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS v FROM d" for kind, p, group in ((0, assign, 2), (1, ACCESS, 0), (2, HEX, 0)))
+    names = "['" + "', '".join(KINDS + VERDICTS) + "']"
+    joined = f"coalesce(string_agg({names}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop), '')"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, source, concat_ws('/', source, lang) AS repo FROM documents),
+k AS ({found}),
+s AS (SELECT doc_id, source, repo, kind, p, m, v, unnest(range(1, len(m) + 1)) AS i FROM k WHERE len(m) > 0),
+base AS (
+  SELECT doc_id, source, repo, kind, v[i] AS value, start, start + length(m[i]) AS stop
+  FROM (SELECT *, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM s)
+  WHERE kind <> 0 OR length(v[i]) >= {ASSIGN_LEAST}),
+cand AS (
+  SELECT DISTINCT doc_id, source, repo, stop - length(value) AS start, stop, value,
+         NOT regexp_matches(value, '{PLACEHOLDER}') AND len(list_distinct(string_split(value, ''))) >= {LIVE_CHARACTERS} AS random FROM base),
+own AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) AS owners, count(DISTINCT coalesce(source, chr(1)) || chr(2) || coalesce(repo, chr(1))) AS repos, bool_or(random) AS random FROM cand GROUP BY value),
+verdicts AS (SELECT value, owners, repos, CASE WHEN owners >= {COPIED_OWNERS} THEN 4 WHEN random THEN 3 END AS kind FROM own),
+added AS (SELECT c.doc_id, v.kind, c.start, c.stop, v.owners, v.repos FROM cand c JOIN verdicts v ON c.value = v.value WHERE v.kind IS NOT NULL),
+every AS (SELECT doc_id, kind, start, stop, 0 AS owners, 0 AS repos FROM base UNION ALL SELECT * FROM added),
+texts AS (SELECT doc_id, {joined} AS spans, coalesce(max(owners), 0) AS max_owners, coalesce(max(repos), 0) AS max_repos FROM every GROUP BY doc_id),
+plain AS (SELECT doc_id, {joined} AS base FROM base GROUP BY doc_id),
+counts AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{name}" for k, name in enumerate(KINDS + VERDICTS))} FROM every GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"CAST(coalesce(n_{name}, 0) AS BIGINT) AS n_{name}" for name in KINDS + VERDICTS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       CAST(coalesce(max_owners, 0) AS BIGINT) AS max_owners, CAST(coalesce(max_repos, 0) AS BIGINT) AS max_repos
+FROM d LEFT JOIN texts USING (doc_id) LEFT JOIN plain USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
