@@ -412,3 +412,24 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: every document and its class."""
     return near_duplicates(common.documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
+
+
+#: Classes in SQL, from all pairs of texts that share a shingle.
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT text, min(doc_id) AS node, count(*) AS copies,
+         list_filter(list_transform(string_split_regex(lower(text), '\s+'), lambda x: regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda x: x <> '') AS w
+  FROM documents WHERE text IS NOT NULL GROUP BY text
+), s AS (
+  SELECT node, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [len(w) || '|' || array_to_string(w, ' ')] ELSE [] END) AS shingle FROM t
+), c AS (SELECT node, shingle, count(*) AS n FROM s GROUP BY ALL),
+z AS (SELECT node, sum(n) AS total FROM c GROUP BY node),
+o AS (SELECT a.node AS x, b.node AS y, sum(least(a.n, b.n)) AS both_have FROM c a JOIN c b ON a.shingle = b.shingle AND a.node < b.node GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN z zx ON x = zx.node JOIN z zy ON y = zy.node WHERE CAST(both_have AS DOUBLE) / CAST(zx.total + zy.total - both_have AS DOUBLE) >= 0.8),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(x, y) AS (SELECT node, node FROM t UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x),
+h AS (SELECT x AS node, min(y) AS class_id FROM reach GROUP BY x),
+k AS (SELECT text, class_id, sum(copies) OVER (PARTITION BY class_id) AS class_size FROM t JOIN h USING (node))
+SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, CAST(coalesce(k.class_size, 1) AS BIGINT) AS class_size, coalesce(k.class_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN k ON d.text = k.text
+"""

@@ -23,7 +23,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op4_secrets": secrets.oracle_sql(), "op5_mixing": mixing.ORACLE_SQL}
+    found = {"op3_rp_forest": rpforest.ORACLE_SQL, "op4_secrets": secrets.oracle_sql(), "op5_mixing": mixing.ORACLE_SQL, "op8_bagminhash": bagminhash.ORACLE_SQL}
     if corpus_pipeline.ORACLE_SQL is not None:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
