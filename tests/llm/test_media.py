@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import ODD
+from odd_rows import ODD
 
 from tallystone.llm import tiff
 

@@ -1,6 +1,6 @@
 import duckdb
 import pytest
-from conftest import DATA, ODD
+from odd_rows import DATA, ODD
 from pyspark.sql import functions as F
 
 from tallystone.llm import mixing

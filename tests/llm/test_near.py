@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import ODD, SCHEMA, words
+from odd_rows import ODD, SCHEMA, words
 from pyspark.sql import functions as F
 
 from tallystone.llm import bagminhash as bag

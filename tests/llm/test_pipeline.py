@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from conftest import DATA, ODD
+from odd_rows import DATA, ODD
 from pyspark.sql import functions as F
 from test_near import classes
 

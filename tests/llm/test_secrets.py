@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from conftest import ODD
+from odd_rows import ODD
 from pyspark.sql import functions as F
 
 from tallystone.llm import secrets

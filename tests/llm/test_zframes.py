@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
-from conftest import ODD
+from odd_rows import ODD
 
 from tallystone.llm import common, tokens, zframes
 
