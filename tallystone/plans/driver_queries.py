@@ -6,7 +6,8 @@ The tables stand for two states: a destination is a deterministic change of the
 from __future__ import annotations
 
 import os
-import tempfile
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -376,8 +377,9 @@ def picked_names(spark, sf_dir):
 # --- real files ----------------------------------------------------------------------------------
 
 
-def _small_tree() -> str:
-    root = tempfile.mkdtemp(prefix="tallystone-tree-")
+def _small_tree(spark: SparkSession) -> str:
+    """A tree in the shared folder, which all executors see."""
+    root = f"{re.sub('^file:/+', '/', reconcile.shared_folder(spark))}/tallystone/tree-{uuid.uuid4().hex}"
     for name, data in {".hidden": b"h", "a/b/c.txt": b"abc", "a/.x/_y": b"", "z.bin": b"\0" * 10}.items():
         os.makedirs(os.path.dirname(os.path.join(root, name)), exist_ok=True)
         with open(os.path.join(root, name), "wb") as f:
@@ -387,11 +389,11 @@ def _small_tree() -> str:
 
 
 def tree_scan(spark, sf_dir):
-    return tree.scan(spark, _small_tree())[0].select("relative_path", "size", "is_directory")
+    return tree.scan(spark, _small_tree(spark))[0].select("relative_path", "size", "is_directory")
 
 
 def tree_digests(spark, sf_dir):
-    root = _small_tree()
+    root = _small_tree(spark)
     entries, _ = tree.scan(spark, root)
     files = entries.where("not is_directory").select(F.concat(F.lit(root + "/"), "relative_path").alias("abs_path"), "size", "last_write_time")
     return content.digests(files).select(paths.base_name(F.col("abs_path")).alias("name"), text.hex_digest(F.col("digest")).alias("digest"), "content_state", "changed")
