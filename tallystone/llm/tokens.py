@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tallystone.llm import common
+
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 
 # The vocabulary's split rule restricted to code points below U+0100.
@@ -29,8 +31,10 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_
 #: white space, and no special-token string.
 _PLAIN = r"^[\x00-\x1b\x21-\x7e\x20\x{a1}-\x{ff}]*$"
 
-#: Entries that each cache holds before it starts anew.
-CACHE_WORDS = 300_000
+#: Entries of each generation of the caches, and bytes of text that are split at once: a worker stays
+#: below 350 MB with them.
+CACHE_WORDS, CACHE_CHUNKS = 150_000, 75_000
+SLICE_BYTES = 4 << 20
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -51,33 +55,47 @@ def _byte_characters() -> dict[int, str]:
     return table
 
 
-class _Words(dict):
+class _Recent(dict):
+    """Keeps between ``size`` and twice ``size`` of the keys used last: full, it becomes the old
+    generation, from which keys that are used again come back."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+
+class _Words(_Recent):
     """Lower-case word -> its ids."""
 
     def __init__(self, model):
-        super().__init__()
+        super().__init__(CACHE_WORDS)
         self.model, self.table = model, _byte_characters()
+        self.ints: dict[int, int] = {}  # one object per id, however many words have it
 
-    def __missing__(self, word):
-        if len(self) >= CACHE_WORDS:
-            self.clear()
+    def make(self, word):
         piece = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.table)
-        ids = self[word] = tuple(t.id for t in self.model.tokenize(piece))
-        return ids
+        return tuple(self.ints.setdefault(t.id, t.id) for t in self.model.tokenize(piece))
 
 
-class _Chunks(dict):
+class _Chunks(_Recent):
     """Lower-case run of non-space characters -> ids of its words."""
 
     def __init__(self, words):
-        super().__init__()
+        super().__init__(CACHE_CHUNKS)
         self.words = words
 
-    def __missing__(self, chunk):
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self[chunk] = tuple(chain.from_iterable(map(self.words.__getitem__, _SPLIT.findall(chunk))))
-        return ids
+    def make(self, chunk):
+        return tuple(chain.from_iterable(map(self.words.__getitem__, _SPLIT.findall(chunk))))
 
 
 class Encoder:
@@ -97,6 +115,13 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids uint32 of all texts, one after the other, and the n + 1 offsets. Null: empty."""
+        parts = [self._encode(p.column(0)) for p in common.slices(iter([pa.RecordBatch.from_arrays([texts], ["t"])]), 0, SLICE_BYTES)]
+        if len(parts) == 1:
+            return parts[0]
+        lengths = [np.diff(offsets) for _, offsets in parts]
+        return np.concatenate([np.zeros(0, np.uint32), *(ids for ids, _ in parts)]), np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *lengths]))))
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.cast(pa.large_string()).fill_null("")
         n = len(texts)
         if n == 0:
@@ -125,13 +150,15 @@ class Encoder:
         coded = pc.dictionary_encode(split.values.slice(bounds[0], bounds[-1] - bounds[0]))
         bounds -= bounds[0]
         kinds = list(map(self.chunks.__getitem__, coded.dictionary.to_pylist()))
-        sizes = np.fromiter(map(len, kinds), np.int64, len(kinds))
-        starts = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, kinds), np.int32, len(kinds))
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         flat = np.fromiter(chain.from_iterable(kinds), np.uint32, int(sizes.sum()))
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
         each = sizes[codes]
-        ends = np.concatenate(([0], np.cumsum(each)))
-        at = np.repeat(starts[codes] - ends[:-1], each) + np.arange(ends[-1])
+        ends = np.concatenate(([0], np.cumsum(each, dtype=np.int64)))
+        # int32 holds these, as a slice's ids are fewer than its bytes.
+        at = np.repeat((starts[codes] - ends[:-1]).astype(np.int32), each)
+        at += np.arange(len(at), dtype=np.int32)
         return flat[at], np.diff(ends[bounds])
 
 

@@ -171,6 +171,8 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
                 writer.add(doc_id, np.concatenate((ids[offsets[i] : offsets[i + 1]], end)))
         if writer is not None:
             n_bytes = writer.close()
+            del ids, offsets, batch
+            common.release_memory()
             yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "path": [path], "n_docs": [len(writer.docs)], "n_tokens": [writer.n_tokens], "n_bytes": [n_bytes]})
 
     manifest = common.written(rows.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long, n_bytes long"), "token-files")

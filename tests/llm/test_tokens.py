@@ -2,7 +2,7 @@ import random
 
 import pyarrow as pa
 import pytest
-from conftest import ODD
+from odd_rows import ODD
 
 from tallystone.llm import tokens
 
@@ -32,9 +32,10 @@ def test_full_caches_start_anew(encoder, monkeypatch):
     texts = [f"word{i} other{i % 7}" for i in range(300)]
     before = encoder.encode(pa.array(texts))[0].tolist()
     monkeypatch.setattr(tokens, "CACHE_WORDS", 5)
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 6)
     fresh = tokens.Encoder()
     assert fresh.encode(pa.array(texts))[0].tolist() == before
-    assert len(fresh.chunks) <= 6
+    assert len(fresh.chunks) <= 6 and len(fresh.chunks.words) <= 5 and len(fresh.chunks.old) == 6
 
 
 def test_empty_and_sliced_arrays(encoder):
