@@ -28,8 +28,11 @@ K = 10
 TREES = 12
 #: Bound of the sample on which split planes are fitted.
 SAMPLE = 16_384
-#: Vectors that a leaf should hold, and at which a leaf is cut into blocks.
+#: Vectors that a leaf holds at least, about, and at which a leaf is cut into blocks.
 LEAF_ROWS, BLOCK_ROWS = 200, 20_000
+#: Levels of a tree at most. A query meets a share of all rows, so leaves are shares too: the number
+#: of leaves that it meets, and of candidates that these return, doesn't grow with the rows.
+MOST_DEPTH = 7
 #: A query stops after SEARCH_ROWS + SEARCH_SHARE x all vectors (with repeats over trees). Vectors
 #: without structure, as in the test tables, need this share for a recall of 0.9: with 64 independent
 #: dimensions the tenth neighbour is hardly nearer than a random row. A lower share will do on
@@ -125,7 +128,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
     ranked = rows.select("id", "v").withColumn("n", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     classes = common.written(ranked.groupBy("v").agg(F.min("id").alias("c"), F.sort_array(F.collect_set("id")).alias("ids")), "vectors")
     total = classes.count()
-    depth = max(0, min(int(np.ceil(np.log2(max(1, total / leaf_rows)))), int(np.log2(max(2, sample))) - 4))
+    depth = max(0, min(MOST_DEPTH, int(np.ceil(np.log2(max(1, total / leaf_rows))))))
     share = min(1.0, sample / total)
     picked = classes.where(F.pmod(F.xxhash64("c"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else classes
     # Twice the expected size bounds what comes to the driver.
