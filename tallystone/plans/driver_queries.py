@@ -110,22 +110,39 @@ def _order_rows(status: Status):
 # --- repeated keys, case, types ------------------------------------------------------------------
 
 
-def _text_entries(spark, sf_dir):
+def _text_entries(spark, sf_dir, whole=False):
+    part = F.col("text") if whole else F.substring("text", 1, 40)
     docs = table(spark, sf_dir, "documents")
-    return adapter.table_entries(docs.where("text is not null"), F.concat(F.when(F.col("doc_id") % 2 == 0, "T").otherwise("t"), F.md5(F.substring("text", 1, 40).cast("binary"))), F.octet_length("text"), seq="doc_id")
+    return adapter.table_entries(docs.where("text is not null"), F.concat(F.when(F.col("doc_id") % 2 == 0, "T").otherwise("t"), F.md5(part.cast("binary"))), F.octet_length("text"), seq="doc_id")
 
 
-def dedupe_last_wins(spark, sf_dir):
-    return keying.last_wins(keying.keyed(_text_entries(spark, sf_dir))).select("key", "size", F.col("seq").alias("doc_id"))
+def _last_rows(rows):
+    return keying.last_wins(keying.keyed(rows)).select("key", "size", F.col("seq").alias("doc_id"))
 
 
-def dest_duplicates_extra(spark, sf_dir):
-    rows = _text_entries(spark, sf_dir)
+def _repeats_by_status(rows):
     results, _ = reconcile.reconcile(rows.where(F.col("seq") % 2 == 0), rows, Mode.PRESENCE)
     return results.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("size_dest").alias("bytes_dest"))
 
 
+def dedupe_last_wins(spark, sf_dir):
+    return _last_rows(_text_entries(spark, sf_dir))
+
+
+def dest_duplicates_extra(spark, sf_dir):
+    return _repeats_by_status(_text_entries(spark, sf_dir))
+
+
+def dedupe_last_wins_whole(spark, sf_dir):
+    return _last_rows(_text_entries(spark, sf_dir, whole=True))
+
+
+def dest_duplicates_extra_whole(spark, sf_dir):
+    return _repeats_by_status(_text_entries(spark, sf_dir, whole=True))
+
+
 _TEXT_KEYS = "t AS (SELECT doc_id, strlen(text) AS size, upper('T' || md5(substr(text, 1, 40))) AS key FROM documents WHERE text IS NOT NULL)"
+_WHOLE_TEXT_KEYS = "t AS (SELECT doc_id, strlen(text) AS size, upper('T' || md5(text)) AS key FROM documents WHERE text IS NOT NULL)"
 
 
 def case_sensitive_vs_fold(spark, sf_dir):
@@ -421,6 +438,8 @@ def _catalog() -> dict[str, tuple]:
         "extra_rows": (_order_rows(Status.EXTRA), "SELECT o_orderkey FROM orders WHERE o_orderkey % 17 = 0 AND o_orderkey % 19 <> 0"),
         "dedupe_last_wins": (dedupe_last_wins, f"WITH {_TEXT_KEYS} SELECT key, CAST(arg_max(size, doc_id) AS BIGINT) AS size, max(doc_id) AS doc_id FROM t GROUP BY key"),
         "dest_duplicates_extra": (dest_duplicates_extra, f"WITH {_TEXT_KEYS}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS rn FROM t), r AS (SELECT CASE WHEN rn = 1 AND key IN (SELECT key FROM t WHERE doc_id % 2 = 0) THEN 'Identical' ELSE 'Extra' END AS status, size FROM n) SELECT status, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes_dest FROM r GROUP BY status"),
+        "dedupe_last_wins_whole": (dedupe_last_wins_whole, f"WITH {_WHOLE_TEXT_KEYS} SELECT key, CAST(arg_max(size, doc_id) AS BIGINT) AS size, max(doc_id) AS doc_id FROM t GROUP BY key"),
+        "dest_duplicates_extra_whole": (dest_duplicates_extra_whole, f"WITH {_WHOLE_TEXT_KEYS}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS rn FROM t), r AS (SELECT CASE WHEN rn = 1 AND key IN (SELECT key FROM t WHERE doc_id % 2 = 0) THEN 'Identical' ELSE 'Extra' END AS status, size FROM n) SELECT status, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes_dest FROM r GROUP BY status"),
         "case_sensitive_vs_fold": (case_sensitive_vs_fold, "SELECT 'Identical' AS status, count(*) AS n, false AS case_sensitive FROM customer UNION ALL SELECT 'Identical', count(*), true FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT s, count(*), true FROM customer, (VALUES ('Missing'), ('Extra')) v(s) WHERE c_custkey % 3 = 0 GROUP BY s"),
         "type_conflict": (type_conflict, "SELECT CASE WHEN (doc_id % 6 = 0) <> (doc_id % 4 = 0) THEN 'SizeMismatch' ELSE 'Identical' END AS status, doc_id % 6 = 0 AND doc_id % 4 = 0 AS is_directory, count(*) AS n FROM documents GROUP BY ALL"),
         "leaf_missing_dirs": (_leaf_dirs(Status.MISSING), _LEAF_DIRS),
