@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystone.sources.scratch import fixed
+
 #: Records up to this number whose name begins with ``$`` belong to the file system.
 LAST_META_RECORD = 23
 MOST_CHAIN = 16
@@ -58,19 +62,22 @@ def reverse_index(records: DataFrame) -> DataFrame:
     return records.groupBy("parent").agg(F.sort_array(F.collect_list("record")).alias("children"))
 
 
-def walk(records: DataFrame, root, separator: str = "\\", most_depth: int = 64) -> DataFrame:
+def walk(records: DataFrame, root, separator: str = "\\") -> DataFrame:
     """(record, depth, path) of all records (record, parent, name) below ``root``, level by level.
-    A level is one join on the parent; it ends with the first empty level."""
-    edges = records.where(F.col("record") != F.col("parent")).select("record", "parent", "name")
-    level = edges.where(F.col("parent") == root).select("record", F.lit(1).alias("depth"), F.col("name").alias("path"))
-    out = level
-    for depth in range(2, most_depth + 1):
-        up = level.select(F.col("record").alias("parent"), F.col("path").alias("__path"))
-        level = edges.join(up, "parent").select("record", F.lit(depth).alias("depth"), F.concat("__path", F.lit(separator), "name").alias("path"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+    A level is one join on the parent, written to the shared folder; it ends with the first empty
+    level. No record is listed below itself, so cycles end too; a record of several parents is
+    listed below each."""
+    edges = fixed(records.where(F.col("record") != F.col("parent")).select("record", "parent", "name"), "walk-edges")
+    first = edges.where(F.col("parent") == root)
+    level = fixed(first.select("record", F.lit(1).alias("depth"), F.col("name").alias("path"), F.array("parent", "record").alias("__above")), "walk-1")
+    levels = [level]
+    while not level.isEmpty():
+        up = level.select(F.col("record").alias("parent"), F.col("path").alias("__path"), "__above")
+        below = edges.join(up, "parent").where(~F.array_contains("__above", F.col("record")))
+        depth = len(levels) + 1
+        level = fixed(below.select("record", F.lit(depth).alias("depth"), F.concat("__path", F.lit(separator), "name").alias("path"), F.concat("__above", F.array("record")).alias("__above")), f"walk-{depth}")
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels).select("record", "depth", "path")
 
 
 def parent_chain(records: DataFrame, start: DataFrame, root, most: int = MOST_CHAIN) -> DataFrame:

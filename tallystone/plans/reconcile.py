@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import time
-import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -15,25 +13,11 @@ from tallystone.functions import paths, text
 from tallystone.operators import classify, content, keying, leafdirs, stats
 from tallystone.sources import cache as caches
 from tallystone.sources import export, snapshot, tree
+from tallystone.sources.scratch import fixed, shared_folder
 from tallystone.spec import DigestState, ExportFormat, Mode, ReconcileSpec, Status
 from tallystone.streaming.control import Control
 
 
-def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tallystone-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fixed(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: every later plan sees this one state."""
-    path = f"{shared_folder(df.sparkSession)}/tallystone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def reconcile(source: DataFrame, dest: DataFrame, mode: Mode = Mode.CONTENT, case_sensitive: bool = False, content_stage=None) -> tuple[DataFrame, DataFrame]:
     """(results, counters) of two ``entries`` tables.
 

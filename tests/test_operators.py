@@ -116,3 +116,16 @@ def test_chain_ends_at_cycles_and_stale_parents(spark):
     got = records.parent_chain(rows, rows, 0).collect()
     assert sum(r.start == 1 for r in got) == records.MOST_CHAIN
     assert [(r.record, r.state) for r in got if r.start == 3] == [(9, "STALE")]
+
+
+def test_walk_has_no_depth_limit(spark):
+    chain = spark.createDataFrame([(i, i - 1, f"d{i}") for i in range(1, 91)], "record long, parent long, name string")
+    rows = sorted(records.walk(chain, 0).collect(), key=lambda r: r.depth)
+    assert [(r.record, r.depth) for r in rows] == [(i, i) for i in range(1, 91)]
+    assert rows[-1].path == "\\".join(f"d{i}" for i in range(1, 91))
+
+
+def test_walk_ends_at_cycles_and_keeps_hard_links(spark):
+    rows = spark.createDataFrame([(1, 4, "root"), (2, 1, "a"), (3, 2, "b"), (4, 3, "c"), (2, 3, "again"), (9, 1, "link"), (9, 3, "link")], "record long, parent long, name string")
+    got = sorted(r.path for r in records.walk(rows, 1).collect())
+    assert got == ["a", "a\\b", "a\\b\\c", "a\\b\\link", "link"]
