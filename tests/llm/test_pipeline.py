@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 from odd_rows import DATA, ODD
 from pyspark.sql import functions as F
@@ -78,3 +79,15 @@ def test_stages_take_odd_rows(spark, odd, none):
     assert docs.count() == 0
     kept = corpus_pipeline.language_id(spark, odd.select(base), DATA)
     assert {r.doc_id for r in kept.collect()} <= {i for i, t, *_ in ODD if t and re.search(r"[^\W\d_]", t)}
+
+
+@pytest.mark.parametrize("languages", [("de", "en", "es", "fr"), ("en", "fr"), ("en",)])
+def test_language_stage_rejects_junk(spark, languages):
+    rng = np.random.default_rng(3)
+    letters = ("abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "абвгдежзийклмнопрстуфхцчшщъыьэюя ")
+    junk = [(-1 - i, "".join(rng.choice(list(letters[i % 4]), 300)), None, "web", 300) for i in range(40)]
+    clean = common.documents(spark, DATA).where(F.col("lang").isin(*languages) & F.col("text").rlike(r"\p{L}"))
+    docs = clean.unionByName(spark.createDataFrame(junk, clean.schema))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, DATA).collect()}
+    assert not [i for i, *_ in junk if i in kept]
+    assert {r.doc_id for r in clean.collect()} == kept
