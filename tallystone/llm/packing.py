@@ -4,11 +4,13 @@ Documents become token pieces of at most ``capacity`` ids. Pieces are dealt into
 size, and best-fit decreasing packs each group. A lower bound from dual-feasible functions
 certifies a group whose bin count reaches it. Bins that hold free room are then given up:
 their pieces meet those of other groups in new groups, and best-fit decreasing runs again, as long
-as this saves bins.
+as this saves bins and the open bins aren't one certified group. Open bins of certified groups are
+given up too: a group that needs no bin fewer alone may need fewer with others.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +26,6 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces in a group: what one task packs at once.
 GROUP_ROWS = 20_000
-EXCHANGE_ROUNDS = 3
 ADDED = ("sequence_id", "offset", "certified")
 
 
@@ -102,14 +103,14 @@ def _packer(length_col: str, capacity: int, fields: list[str], round_: int):
     return pack_group
 
 
-def pack(df: DataFrame, length_col: str = "length", capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, rounds: int = EXCHANGE_ROUNDS) -> DataFrame:
+def pack(df: DataFrame, length_col: str = "length", capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, rounds: int | None = None) -> DataFrame:
     """Pack rows of ``length_col`` tokens into sequences of at most ``capacity``.
 
     Returns the rows with ``sequence_id`` long, ``offset`` long (gapless from 0 within a sequence)
     and ``certified`` boolean (the group that packed the row needs no bin fewer). Same-named
     columns of the input are replaced. Lengths must be 1 to ``capacity``; null and 0 are packed as
     rows of no length at the end of a sequence of their group. Repeated rows are packed each.
-    An empty table gives an empty one.
+    An empty table gives an empty one. ``rounds`` bounds the exchanges; None goes on while they save bins.
     """
     if group_rows >= 1 << 20:
         raise ValueError("group_rows must be below 2**20")
@@ -128,10 +129,10 @@ def pack(df: DataFrame, length_col: str = "length", capacity: int = CAPACITY, gr
 
     done: DataFrame | None = None
     now = packed_once(todo, todo.count(), 0)
-    for round_ in range(1, rounds + 1):
+    for round_ in itertools.count(1) if rounds is None else range(1, rounds + 1):
         given = now.where(F.col("__room") > 0)
-        total = given.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sequence_id").alias("bins"), F.sum(length_col).alias("tokens")).first()
-        if not total.n or total.bins <= -(-(total.tokens or 0) // capacity):
+        total = given.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sequence_id").alias("bins"), F.sum(length_col).alias("tokens"), F.bool_and("certified").alias("certified"), F.count_distinct(F.shiftright("sequence_id", 20)).alias("groups")).first()
+        if not total.n or total.bins <= -(-(total.tokens or 0) // capacity) or (total.groups == 1 and total.certified):
             break
         again = packed_once(given.select(*fields), total.n, round_)
         if bins(again) >= total.bins:

@@ -121,3 +121,11 @@ def test_query_reaches_the_bound(spark):
 def test_group_limit(spark, bad):
     with pytest.raises(ValueError, match="group_rows"):
         packing.pack(spark.range(1).withColumn("length", F.lit(1)), group_rows=bad)
+
+
+def test_exchange_goes_on_while_it_saves_bins(spark):
+    df = spark.range(3000).select(F.col("id"), (F.pmod(F.xxhash64("id"), F.lit(70)) + 1).cast("long").alias("length"))
+    rows = packing.pack(df, "length", 100, group_rows=8).collect()
+    assert sorted(r.id for r in rows) == list(range(3000))
+    three = packing.pack(df, "length", 100, group_rows=8, rounds=3).select("sequence_id").distinct().count()
+    assert placed(rows, 100) < three
