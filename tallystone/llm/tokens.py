@@ -1,15 +1,18 @@
-"""Exact, cached encoding of Arrow text columns with a public ``tokenizers`` vocabulary.
+"""Exact encoding of Arrow text columns with a public ``tokenizers`` vocabulary, many words at once.
 
 The vocabulary's own pipeline (normalise, split, byte pairs) handles each whole text at about a
 megabyte a second. Its normaliser and splitter treat words apart from each other, so a text's ids
 are the ids of its words in order. Texts whose characters are all below U+0100 (where lower case
-and composition are one-to-one) are split here, and only words that were not seen lately go through
-the library's model. All other texts go through the library as they are. ``tests/llm`` holds
-both ways against each other.
+and composition are one-to-one) are split here. The distinct words of a slice of texts then go
+through the byte pairs together: a step merges, in every word that isn't done, the leftmost pair of
+the lowest rank, as the library does word by word. So a word that occurs once costs little, and
+nothing is kept from slice to slice. Very long words go through the library's model, and all other
+texts through the library as they are. ``tests/llm`` holds both ways against each other.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import chain
@@ -25,16 +28,16 @@ DEFAULT_VOCABULARY = "word_bpe_49k.json"
 # The vocabulary's split rule restricted to code points below U+0100.
 _LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ÿ"
 _NUMBERS = "0-9²³¹¼½¾"
-_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+_SPLIT = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
 #: Texts that may be split here: no code point from U+0100, none that libraries disagree on as
-#: white space, and no special-token string.
+#: white space; and no string of a special token, which the library matches as it stands.
 _PLAIN = r"^[\x00-\x1b\x21-\x7e\x20\x{a1}-\x{ff}]*$"
 
-#: Entries of each generation of the caches, and bytes of text that are split at once: a worker stays
-#: below 350 MB with them.
-CACHE_WORDS, CACHE_CHUNKS = 150_000, 75_000
+#: Bytes of text that are split at once.
 SLICE_BYTES = 4 << 20
+#: Bytes of a word from which it goes through the library's model: a step here merges one pair a word.
+LONG_WORD = 64
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -55,47 +58,98 @@ def _byte_characters() -> dict[int, str]:
     return table
 
 
-class _Recent(dict):
-    """Keeps between ``size`` and twice ``size`` of the keys used last: full, it becomes the old
-    generation, from which keys that are used again come back."""
-
-    def __init__(self, size: int):
-        super().__init__()
-        self.size, self.old = size, {}
-
-    def __missing__(self, key):
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        found = self.old.get(key)
-        if found is None:
-            found = self.make(key)
-        self[key] = found
-        return found
-
-
-class _Words(_Recent):
-    """Lower-case word -> its ids."""
-
-    def __init__(self, model):
-        super().__init__(CACHE_WORDS)
-        self.model, self.table = model, _byte_characters()
-        self.ints: dict[int, int] = {}  # one object per id, however many words have it
-
-    def make(self, word):
-        piece = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.table)
-        return tuple(self.ints.setdefault(t.id, t.id) for t in self.model.tokenize(piece))
-
-
-class _Chunks(_Recent):
-    """Lower-case run of non-space characters -> ids of its words."""
-
-    def __init__(self, words):
-        super().__init__(CACHE_CHUNKS)
-        self.words = words
-
-    def make(self, chunk):
-        return tuple(chain.from_iterable(map(self.words.__getitem__, _SPLIT.findall(chunk))))
+#: Above every pair's code: its rank, then 16 bits of the id that it becomes.
+_NO_PAIR = np.int64(1 << 40)
+
+
+class Merges:
+    """The byte pairs of a vocabulary with word ends, as a hash table in arrays."""
+
+    BITS = 18
+
+    def __init__(self, model: dict):
+        ids, end, characters = model["vocab"], model["end_of_word_suffix"], _byte_characters()
+        if max(ids.values()) >= 1 << 16 or len(model["merges"]) >= 1 << self.BITS - 1:
+            raise ValueError("ids must fit 16 bits, and pairs half of the table")
+        #: Ids of single bytes inside a word and at its end.
+        self.inner, self.last = (np.array([ids[characters[b] + e] for b in range(256)], np.int64) for e in ("", end))
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        keys = np.array([ids[a] << 16 | ids[b] for a, b in pairs], np.int64)
+        codes = np.arange(len(pairs)) << 16 | np.array([ids[a + b] for a, b in pairs], np.int64)
+        self.keys, self.codes = np.full(1 << self.BITS, -1, np.int64), np.full(1 << self.BITS, _NO_PAIR, np.int64)
+        at = self._slot(keys)
+        while len(keys):  # each round, one key takes each free slot and the others step on
+            free = np.flatnonzero(self.keys[at] < 0)
+            slots, first = np.unique(at[free], return_index=True)
+            taken = free[first]
+            self.keys[slots], self.codes[slots] = keys[taken], codes[taken]
+            left = np.ones(len(keys), bool)
+            left[taken] = False
+            keys, codes, at = keys[left], codes[left], (at[left] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.int64(0x2545F4914F6CDD1D) >> np.int64(40)) & (len(self.keys) - 1)
+
+    def pair_codes(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Code of each pair of ids; ``_NO_PAIR`` where the vocabulary merges none."""
+        keys = left << 16 | right
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.codes[at], _NO_PAIR)
+        todo = np.flatnonzero((found != keys) & (found >= 0))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & (len(self.keys) - 1)
+            found = self.keys[at]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.codes[at[hit]]
+            on = ~hit & (found >= 0)
+            todo, at = todo[on], at[on]
+        return out
+
+    def encode(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words (UTF-8 bytes one after the other, none empty), flat, and their number by word."""
+        n = len(lengths)
+        counts = lengths.astype(np.int64)
+        ends = np.cumsum(counts)
+        x = self.inner[data]
+        x[ends - 1] = self.last[data[ends - 1]]
+        word = np.repeat(np.arange(n), counts)
+        codes = np.full(len(x), _NO_PAIR, np.int64)  # of each id and the next one of its word
+        inside = np.flatnonzero(word[:-1] == word[1:])
+        codes[inside] = self.pair_codes(x[inside], x[inside + 1])
+        done_words, done_ids = [], []
+        while len(x):
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            sizes = np.diff(starts, append=len(x))
+            best = np.minimum.reduceat(codes, starts)
+            open_ = best < _NO_PAIR
+            if not open_.all():
+                going = np.repeat(open_, sizes)
+                done_words.append(word[~going])
+                done_ids.append(x[~going])
+                x, word, codes, best, sizes = x[going], word[going], codes[going], best[open_], sizes[open_]
+                if not len(x):
+                    break
+            at = np.flatnonzero(codes == np.repeat(best, sizes))
+            at = at[np.diff(word[at], prepend=-1) != 0]  # the leftmost of each word
+            x[at] = best & 0xFFFF
+            codes[at] = codes[at + 1]
+            keep = np.ones(len(x), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))
+            x, word, codes = x[keep], word[keep], codes[keep]
+            last = np.append(word[1:] != word[:-1], True)
+            codes[at[last[at]]] = _NO_PAIR
+            at_next = at[~last[at]]
+            before = at[(at > 0) & (word[at - 1] == word[at])] - 1
+            near = np.concatenate((at_next, before))
+            codes[near] = self.pair_codes(x[near], x[near + 1])
+        if not done_words:
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        word, x = np.concatenate(done_words), np.concatenate(done_ids)
+        order = np.argsort(word, kind="stable")
+        return x[order].astype(np.uint32), np.bincount(word, minlength=n)
 
 
 class Encoder:
@@ -106,9 +160,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(vocabulary_path(name))
-        self.chunks = _Chunks(_Words(self.whole.model))
         #: The split rule above is that of the default vocabulary only.
         self.splits = os.path.basename(vocabulary_path(name)) == DEFAULT_VOCABULARY
+        if self.splits:
+            with open(vocabulary_path(name), encoding="utf-8") as f:
+                about = json.load(f)
+            self.merges, self.characters = Merges(about["model"]), _byte_characters()
+            self.special = "|".join(re.escape(t["content"]) for t in about["added_tokens"])
 
     def encode_one(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
@@ -128,7 +186,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         plain = np.zeros(n, bool)
         if self.splits:
-            plain = pc.and_not(pc.match_substring_regex(texts, _PLAIN), pc.match_substring(texts, "<|")).to_numpy(zero_copy_only=False)
+            plain = pc.and_not(pc.match_substring_regex(texts, _PLAIN), pc.match_substring_regex(texts, self.special)).to_numpy(zero_copy_only=False)
         own = [self.encode_one(t) for t in texts.filter(pa.array(~plain)).to_pylist()]
         ids, lengths = self._split(texts.filter(pa.array(plain)))
         if not own:
@@ -149,10 +207,8 @@ class Encoder:
         bounds = split.offsets.to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(split.values.slice(bounds[0], bounds[-1] - bounds[0]))
         bounds -= bounds[0]
-        kinds = list(map(self.chunks.__getitem__, coded.dictionary.to_pylist()))
-        sizes = np.fromiter(map(len, kinds), np.int32, len(kinds))
-        starts = np.cumsum(sizes, dtype=np.int32) - sizes
-        flat = np.fromiter(chain.from_iterable(kinds), np.uint32, int(sizes.sum()))
+        flat, sizes = self._chunks(coded.dictionary)
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes.astype(np.int32)
         codes = coded.indices.to_numpy(zero_copy_only=False)
         each = sizes[codes]
         ends = np.concatenate(([0], np.cumsum(each, dtype=np.int64)))
@@ -161,12 +217,49 @@ class Encoder:
         at += np.arange(len(at), dtype=np.int32)
         return flat[at], np.diff(ends[bounds])
 
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-case runs of non-space characters, flat, and their number by run."""
+        found = _SPLIT.findall("\n".join(chunks.to_pylist()))
+        coded = pa.array(found, pa.large_string()).dictionary_encode()
+        flat, sizes = self._words(coded.dictionary)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        each = sizes[codes]
+        starts = np.cumsum(sizes) - sizes
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(starts[codes] - (ends - each), each) + np.arange(int(each.sum()))]
+        # Line breaks have no ids: they only tell where a run ends.
+        breaks = np.flatnonzero(codes == coded.dictionary.index("\n").as_py())
+        bounds = np.concatenate(([0], ends[breaks], [len(ids)]))
+        return ids, np.diff(bounds)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, flat, and their number by word; a line break has none."""
+        lengths = pc.binary_length(words).to_numpy().astype(np.int64)
+        data = np.frombuffer(words.buffers()[2], np.uint8, int(lengths.sum()))
+        ends = np.cumsum(lengths)
+        short = (lengths < LONG_WORD) & (data[ends - lengths] != 10)
+        ids, sizes = self.merges.encode(data[np.repeat(short, lengths)], lengths[short])
+        every = np.zeros(len(words), np.int64)
+        every[short] = sizes
+        long = [self._model(w) for w in words.filter(pa.array(lengths >= LONG_WORD)).to_pylist()]
+        if not long:
+            return ids, every
+        every[lengths >= LONG_WORD] = [len(x) for x in long]
+        out, mine = np.zeros(int(every.sum()), np.uint32), np.repeat(short, every)
+        out[mine] = ids
+        out[~mine] = np.fromiter(chain.from_iterable(long), np.uint32, int((~mine).sum()))
+        return out, every
+
+    def _model(self, word: str) -> list[int]:
+        piece = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.characters)
+        return [t.id for t in self.whole.model.tokenize(piece)]
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(name: str = DEFAULT_VOCABULARY) -> Encoder:
-    """One encoder per Python worker and vocabulary, so its caches outlive tasks."""
+    """One encoder per Python worker and vocabulary: it outlives tasks."""
     if name not in _ENCODERS:
         _ENCODERS[name] = Encoder(name)
     return _ENCODERS[name]
