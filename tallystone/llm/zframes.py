@@ -147,13 +147,13 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
     Returns the manifest, one row per file: shard long (ascending with the ids), path, n_docs,
     n_tokens, first_token (ids in earlier files) and n_bytes, all long. An empty table gives no file.
 
-    Rows are dealt by range, so a file is as large as a shuffle partition. An attempt that is
-    retried writes under a new name and only the attempt that counts is in the manifest;
+    Rows are dealt by range of the id and then of their place in the input, so a file is as large as a
+    shuffle partition, even where most rows have one id or none. An attempt that is retried writes under a new name and only the attempt that counts is in the manifest;
     ``remove_orphans`` deletes the others.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

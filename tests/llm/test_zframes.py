@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 import zstandard
 from odd_rows import ODD
+from pyspark.sql import functions as F
 
 from tallystone.llm import common, tokens, zframes
 
@@ -93,3 +94,17 @@ def test_query_equals_the_library(spark, docs):
     assert [r.n_tokens for r in rows] == (np.diff(offsets) + 1).tolist()
     assert [r.start for r in rows] == (offsets[:-1] + np.arange(len(rows))).tolist()
     assert rows[5].ids_crc32 == zlib.crc32(np.append(ids[offsets[5] : offsets[6]], 2).astype("<u4").tobytes())
+
+
+def test_a_hot_id_is_cut_into_files(spark, tmp_path):
+    df = spark.range(6000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = zframes.write_token_files(df.repartition(8), f"file://{tmp_path}/hot")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert sum(sizes) == 6000 and max(sizes) <= 2 * 6000 / len(sizes) and len(sizes) > 3
+    rows = zframes.read_token_files(manifest, with_ids=False).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+    assert rows[0].start == 0 and all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
