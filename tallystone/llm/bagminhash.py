@@ -19,11 +19,17 @@ Links. All texts of a bucket are compared with the bucket's first text. Members
 different classes are compared too, unless their distances to that first text differ by more than
 1 - similarity (the distance is a metric) or their sizes rule the link out. Classes are the
 connected components of the verified links.
+
+Hot groups. Texts travel only where a bucket is shared: a bitmap of the wanted ones thins out the
+documents before their shuffle. A first text meets its bucket's texts in groups of bounded rows. Of
+the members that are left to compare, those of the bucket's largest class travel once, as none of
+their pairs among themselves matter, and only the others go to each of its blocks. Blocks are bounded
+by rows and by shingles. Joins on buckets, texts and classes broadcast the keys of many rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +45,12 @@ BANDS, ROWS = 24, 5
 POSITIONS = BANDS * ROWS
 #: Points per position up to the first end time; 4 texts in a hundred then need a later one.
 DENSITY = 8.0
-CACHE_WORDS = 500_000
-#: Members of a bucket that are compared as one group.
-BLOCK = 500
+#: Bytes of text whose shingles are made at a time.
+SLICE_BYTES = 4 << 20
+#: Members of a bucket that are compared as one group, and their shingles, about.
+BLOCK, BLOCK_SHINGLES = 500, 1 << 20
+#: Texts that meet one first text in one group, about.
+STAR_ROWS = 200
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,25 +66,40 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    """Lower-case run of non-space characters -> hash of the word inside (without leading and
-    trailing characters that are neither letters nor digits), or 0 if there is none."""
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * _STEP)
+_EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+_PLAIN_EDGE = np.array([chr(b).isalnum() if b < 128 else False for b in range(256)])
 
-    def __missing__(self, chunk):
-        import xxhash
 
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        a, b = 0, len(chunk)
-        while a < b and not chunk[a].isalnum():
-            a += 1
-        while b > a and not chunk[b - 1].isalnum():
-            b -= 1
-        found = self[chunk] = (xxhash.xxh64_intdigest(chunk[a:b]) or 1) if a < b else 0
-        return found
+def word_hashes(chunks: pa.Array) -> np.ndarray:
+    """Hash of the word inside each lower-case run of non-space characters (without leading and
+    trailing characters that are neither letters nor digits), or 0 if there is none."""
+    lengths = pc.binary_length(chunks).to_numpy().astype(np.int64)
+    data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)[: int(lengths.sum())]
+    starts = np.cumsum(lengths) - lengths
+    out = np.zeros(len(chunks), np.uint64)
+    some = lengths > 0
+    ready = np.zeros(len(chunks), bool)
+    ready[some] = _PLAIN_EDGE[data[starts[some]]] & _PLAIN_EDGE[data[starts[some] + lengths[some] - 1]]
+    out[ready] = _hashed(data[np.repeat(ready, lengths)], lengths[ready])
+    odd = some & ~ready
+    if odd.any():
+        trimmed = pc.replace_substring_regex(chunks.filter(pa.array(odd)), pattern=_EDGES, replacement="")
+        lengths = pc.binary_length(trimmed).to_numpy().astype(np.int64)
+        found = np.zeros(len(trimmed), np.uint64)
+        found[lengths > 0] = _hashed(np.frombuffer(trimmed.buffers()[2] or b"", np.uint8)[: int(lengths.sum())], lengths[lengths > 0])
+        out[odd] = found
+    return out
 
 
-_WORDS = _Words()
+def _hashed(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Never 0: a sum over the bytes, a number of each byte's own times a power of its place, mixed."""
+    if len(lengths) == 0:
+        return np.zeros(0, np.uint64)
+    starts = np.cumsum(lengths) - lengths
+    powers = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(int(lengths.max()) - 1, _M1))))
+    sums = np.add.reduceat(_BYTES[data] * powers[np.arange(len(data)) - np.repeat(starts, lengths)], starts)
+    return np.maximum(_mixed(sums + lengths.astype(np.uint64) * _STEP), np.uint64(1))
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,8 +112,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     coded = pc.dictionary_encode(split.values.slice(bounds[0], bounds[-1] - bounds[0]))
     if len(coded) == 0:
         return empty
-    table = np.array(list(map(_WORDS.__getitem__, coded.dictionary.to_pylist())), np.uint64)
-    words = table[coded.indices.to_numpy(zero_copy_only=False)]
+    words = word_hashes(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
     doc = np.repeat(np.arange(n), np.diff(bounds))
     real = words != 0
     words, doc = words[real], doc[real]
@@ -180,12 +203,13 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, text_hash string (null for a null text), weight long (number of shingles) and
-    bands array<long> (empty without shingles), of each whole text."""
+    """``id_col`` (a number, as doc_id long), text_hash string (null for a null text), weight long
+    (number of shingles) and bands array<long> (empty without shingles), of each whole text. Rows
+    stay rows, repeated or not."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.md5(F.col(text_col).cast("binary")).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, 1, SLICE_BYTES):
             n = batch.num_rows
             doc, h, count = shingles(batch.column(1))
             weight = np.bincount(doc, weights=count, minlength=n).astype(np.int64)
@@ -193,77 +217,116 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             offsets = np.concatenate(([0], np.cumsum(np.where(weight > 0, BANDS, 0)))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(weight), lists], ["doc_id", "text_hash", "weight", "bands"])
+        common.release_memory()
 
     return rows.mapInArrow(run, "doc_id long, text_hash string, weight long, bands array<long>")
 
 
-def verified(pairs: DataFrame) -> DataFrame:
-    """From rows (a, b, text_a, text_b): a, b and the exact similarity."""
+def verified(stars: DataFrame, with_texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """From distinct pairs (a, b), written: a, b and the exact similarity. ``with_texts`` adds the
+    ``text`` of ``node`` to rows; pairs of nodes without a text are left out, and so are null nodes.
+    The texts of all b of an a come to it in groups of about ``STAR_ROWS``."""
+    counts = stars.groupBy("a").count()
+    sizes = counts.select("a", F.ceil(F.col("count") / STAR_ROWS).alias("parts"))
+    ends = common.join_unique(stars, sizes, "a", common.hot_keys(counts)).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("node"), F.lit(False).alias("head"))
+    heads = sizes.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"), F.lit(True).alias("head"))
+    rows = with_texts(heads.unionByName(ends)).select("a", "part", F.when(~F.col("head"), F.col("node")).alias("b"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, 2):
-            both = pc.dictionary_encode(pa.concat_arrays([batch.column(2).cast(pa.large_string()), batch.column(3).cast(pa.large_string())]))
-            doc, h, count = shingles(both.dictionary)
-            ends = np.searchsorted(doc, np.arange(len(both.dictionary) + 1))
-            sets = [(h[p:q], count[p:q]) for p, q in zip(ends[:-1], ends[1:], strict=True)]
-            codes = both.indices.to_numpy(zero_copy_only=False)
-            n = batch.num_rows
-            found = [similarity(sets[i], sets[j]) for i, j in zip(codes[:n], codes[n:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])
+        at, head = None, None
+        for batch in common.slices(batches, 3, SLICE_BYTES):
+            doc, h, count = shingles(batch.column(3))
+            ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            out = []
+            for i, (a, part, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                own = h[ends[i] : ends[i + 1]], count[ends[i] : ends[i + 1]]
+                if b is None:
+                    at, head = (a, part), tuple(x.copy() for x in own)
+                elif (a, part) == at:
+                    out.append((a, b, similarity(head, own)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "similarity"])
+        common.release_memory()
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    # The first text comes first in its group.
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes in ``links`` (a, b); a component is named by its least node.
+    Repeated links, loops and either direction count once; links with a null end must not occur; no
+    links give an empty table.
 
     Least labels spread along links, and each label then jumps to its own label, until nothing
-    changes. All steps are joins and partial minima; only a count comes to the driver.
+    changes. All steps are joins and partial minima; only counts come to the driver. Nodes of many
+    links and labels of many nodes are joined by broadcast (``common.join_unique``).
     """
     both = common.written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    hubs = common.hot_keys(both.groupBy("b").count())
     labels = common.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        spread = labels.join(near, labels.node == near.a).select("node", F.least("component", "near").alias("to"), F.col("component").alias("was"))
+        named = labels.select(F.col("node").alias("b"), "component")
+        near = common.join_unique(both, named, "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        spread = labels.join(near, "node").select("node", F.least("component", "near").alias("to"), F.col("component").alias("was"))
+        large = common.hot_keys(labels.groupBy(F.col("component").alias("to")).count())
         jump = labels.select(F.col("node").alias("to"), F.col("component").alias("root"))
-        new = common.written(spread.join(jump, "to").select("node", F.least("to", "root").alias("component"), "was"), "labels")
+        new = common.written(common.join_unique(spread, jump, "to", large).select("node", F.least("to", "root").alias("component"), "was"), "labels")
         common.drop_scratch(labels)
         labels = new
         if labels.where(F.col("component") != F.col("was")).isEmpty():
             common.drop_scratch(both)
-            return labels.select("node", "component")
+            back = labels.select("node", "component")
+            back._scratch_path = labels._scratch_path
+            return back
 
 
-def cross_links(rows: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def cross_links(rows: DataFrame, with_texts: Callable[[DataFrame], DataFrame], least: float = SIMILARITY, block: int = BLOCK, hot: DataFrame | None = None) -> DataFrame:
     """Links (a, b) of similarity ``least`` or more between different components within a bucket, as
-    many as join these components, from rows (key, n, node, weight, far, component, text); n is the
-    number of rows of the key.
-
-    A bucket's members are compared where they are, so pairs are never rows. Buckets above ``block``
-    members are cut into blocks, and each pair of blocks is a group of its own.
+    many as join these components, from rows (key, node, weight, far, component), written.
+    ``with_texts`` adds the ``text`` of ``node`` to rows; ``hot`` are keys of many rows. Keys and nodes aren't null; a node is once in
+    a bucket.
+
+    A bucket's members are compared where they are, so pairs are never rows. Members go to blocks of
+    about ``block`` rows and ``BLOCK_SHINGLES`` shingles. Each block of the bucket's largest component is
+    paired with each block of the other members, and these blocks among themselves; so where one
+    component holds nearly all, its texts travel once.
     """
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("*", other.alias("other")).select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "text", "node", "weight", "far", "component", "own")
-    group = ["key", "one", "two"]
+    each = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    needed = lambda n, weight: F.greatest(F.ceil(n / block), F.ceil(weight / BLOCK_SHINGLES), F.lit(1).cast("long"))
+    main = F.max(F.struct("n", "component", "weight"))
+    buckets = each.groupBy("key").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), main.alias("main"))
+    buckets = buckets.select("key", F.col("main.component").alias("main"), needed(F.col("main.n"), F.col("main.weight")).alias("main_blocks"), needed(F.col("n") - F.col("main.n"), F.col("weight") - F.col("main.weight")).alias("blocks"))
+    rows = common.join_unique(rows, buckets, "key", hot)
+    is_main = F.col("component") == F.col("main")
+    own = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("main_blocks")).otherwise(F.col("blocks")))
+    # Groups: a block of the main component and one of the others (kind 0), two blocks of the others (1).
+    group = lambda kind, one, two: F.struct(F.lit(kind).alias("kind"), one.alias("one"), two.alias("two"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    of_main = F.transform(upto(F.col("blocks")), lambda k: group(0, F.col("own"), k))
+    of_others = F.concat(F.transform(upto(F.col("main_blocks")), lambda k: group(0, k, F.col("own"))), F.transform(upto(F.col("blocks")), lambda k: group(1, F.least("own", k), F.greatest("own", k))))
+    rows = rows.withColumn("own", own).withColumn("is_main", is_main).withColumn("group", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_others)))
+    rows = rows.select("key", "group.*", "node", "weight", "far", "component", F.when(F.col("is_main"), -1).otherwise(F.col("own")).alias("own"))
+    group_by = ["key", "kind", "one", "two"]
+    rows = with_texts(rows).select(*group_by, "text", "node", "weight", "far", "component", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
-        for batch in common.slices(batches, 3):
-            doc, h, count = shingles(batch.column(3))
+        for batch in common.slices(batches, 4, SLICE_BYTES):
+            doc, h, count = shingles(batch.column(4))
             ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             out = []
-            for i, row in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5, 6, 7, 8)), strict=True)):
-                if row[:3] != at:
+            for i, row in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5, 6, 7, 8, 9)), strict=True)):
+                if row[:4] != at:
                     out += _group_links(held, at, least)
-                    at, held = row[:3], []
-                held.append((*row[3:], h[ends[i] : ends[i + 1]].copy(), count[ends[i] : ends[i + 1]].copy()))
+                    at, held = row[:4], []
+                held.append((*row[4:], h[ends[i] : ends[i + 1]].copy(), count[ends[i] : ends[i + 1]].copy()))
             if out:
                 yield _links(out)
         yield _links(_group_links(held, at, least))
+        held = []
+        common.release_memory()
 
-    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long")
+    return rows.repartition(*group_by).sortWithinPartitions(*group_by).mapInArrow(run, "a long, b long")
 
 
 def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -271,14 +334,16 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _group_links(rows: list[tuple], at: tuple | None, least: float) -> list[tuple[int, int]]:
-    """Links that join components of one group; rows are (node, weight, far, component, block, hashes,
-    counts). Sizes and distances to the bucket's first text rule pairs out before any comparison."""
+    """Links that join components of one group; ``at`` is its key, kind, one, two; rows are
+    (node, weight, far, component, block, hashes, counts). Sizes and distances to the bucket's first text rule pairs out before any comparison."""
     if len(rows) < 2:
         return []
     node, weight, far, component, block = (np.array(c) for c in list(zip(*rows, strict=True))[:5])
     size = np.minimum.outer(weight, weight) >= least * np.maximum.outer(weight, weight)
     can = size & (np.abs(np.subtract.outer(far, far)) <= 1 - least + 1e-9) & (component[:, None] != component[None])
-    if at[1] != at[2]:
+    if at[1] == 0:  # pairs of the main component and the others
+        can &= (block < 0)[:, None] != (block < 0)[None]
+    elif at[2] != at[3]:
         can &= block[:, None] != block[None]
     one, two = np.nonzero(np.triu(can, 1))
     if not len(one):
@@ -350,29 +415,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.where(F.col("text_hash").isNotNull()).groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     nodes = common.written(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")
     placed = nodes.select(F.explode("bands").alias("key"), "node")
-    buckets = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    shared = common.written(placed.join(buckets, "key"), "buckets")
+    buckets = common.written(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "bucket-sizes")
+    hot = common.hot_keys(buckets, "n")
+    placed = common.maybe_among(placed, "key", buckets.select("key"), 8)
+    shared = common.written(common.join_unique(placed, buckets, "key", hot), "buckets")
     # The member that shares most with others is the bucket's first text: an original comes before its copies.
     weights = shared.groupBy("node").agg(F.sum("n").alias("degree"))
     leaders = shared.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("leader"))
-    members = common.written(shared.select("key", "node").join(leaders, "key"), "members")
+    members = common.written(common.join_unique(shared.select("key", "node"), leaders, "key", hot), "members")
     stars = members.where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     stars = common.written(stars, "stars")
+    common.drop_scratch(shared)
 
-    def needed(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-
-    # Texts of nodes that share a bucket, from the documents by hash and id.
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("text_hash"), F.col("first_id"))
-    source = docs.where(F.col(text_col).isNotNull()).select(F.md5(F.col(text_col).cast("binary")).alias("text_hash"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
-    held = source.join(wanted, (source.text_hash == wanted.text_hash) & source["__id"].eqNullSafe(wanted.first_id)).select("node", "text")
-    held = common.written(held, "texts")
+    # Texts come from the documents by hash and id; rows that repeat these hold a text once.
+    known = nodes.select("node", F.unhex("text_hash").alias("hash"), F.coalesce("first_id", F.lit(0).cast("long")).alias("id"), F.col("first_id").isNull().alias("no_id"))
+    keys = ["hash", "id", "no_id"]
+    source = docs.where(F.col(text_col).isNotNull()).select(F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("hash"), F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")).alias("id"), F.col(id_col).cast("long").isNull().alias("no_id"), F.col(text_col).cast("string").alias("text"))
 
-    def with_texts(pairs: DataFrame) -> DataFrame:
-        one, two = held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), held.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(one, "a").join(two, "b")
+    def with_texts(of_nodes: DataFrame) -> DataFrame:
+        of_nodes = common.written(of_nodes.join(known, "node"), "wanted")
+        place = F.xxhash64(*keys).alias("place")
+        found = common.maybe_among(source.withColumn("place", place), "place", of_nodes.select(place)).select(*keys, "text")
+        return found.dropDuplicates(keys).join(of_nodes, keys)
 
-    tested = common.written(verified(with_texts(stars)), "tested")
+    tested = common.written(verified(stars, with_texts), "tested")
     links = tested.where(F.col("similarity") >= least)
     found = components(links)
 
@@ -380,18 +446,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sized = members.where(F.col("node") != F.col("leader")).join(nodes.select("node", "weight"), "node").join(found, "node", "left")
     distance = tested.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far"))
     sized = sized.join(distance, ["leader", "node"]).select("key", "node", "weight", "far", F.coalesce("component", "node").alias("component"))
-    mixed = sized.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key", "n")
-    open_ = common.written(sized.join(mixed, "key"), "open")
+    mixed = sized.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+    open_ = common.written(common.join_unique(sized, mixed, "key", hot), "open")
     if not open_.isEmpty():
-        more = common.written(cross_links(open_.join(held, "node"), least), "links")
+        more = common.written(cross_links(open_, with_texts, least, hot=hot), "links")
         if not more.isEmpty():
+            common.drop_scratch(found)
             found = components(links.select("a", "b").unionByName(more.select("a", "b")))
+        common.drop_scratch(more)
+    common.drop_scratch(members, stars, buckets, open_, tested)
 
-    classes = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = nodes.select("node", "text_hash", "first_id", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_id = F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), F.col("text_hash").alias("hash")))
     heads = classes.groupBy("component").agg(least_id.alias("head"), F.sum("copies").alias("class_size"))
-    of_text = classes.select("text_hash", "component").join(heads, "component").select("text_hash", F.col("head.id").alias("class_id"), F.col("head.hash").alias("head_hash"), "class_size")
-    with_class = rows.select("doc_id", "text_hash").join(of_text, "text_hash", "left")
+    large = common.hot_keys(found.groupBy("component").count())
+    of_text = common.join_unique(classes.select("text_hash", "component"), heads, "component", large)
+    of_text = of_text.select("text_hash", F.col("head.id").alias("class_id"), F.col("head.hash").alias("head_hash"), "class_size")
+    copied = common.hot_keys(nodes.select("text_hash", "copies"), "copies")
+    with_class = common.join_unique(rows.select("doc_id", "text_hash"), of_text, "text_hash", copied, "left")
     alone = F.col("text_hash").isNull()
     return with_class.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), "text_hash", F.when(alone, True).otherwise((F.col("text_hash") == F.col("head_hash")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
 

@@ -9,6 +9,7 @@ from odd_rows import ODD, SCHEMA, words
 from pyspark.sql import functions as F
 
 from tallystone.llm import bagminhash as bag
+from tallystone.llm import common
 
 
 def tokens_of(text):
@@ -121,7 +122,8 @@ def test_documents_against_brute_force(docs):
     assert dict(found(docs)) == {rows[i][0]: c for i, (_, c) in want.items()}
 
 
-def test_hot_groups_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("block, words_each, hot", [(40, 80, 1000), (10**6, 80, 10), (7, 10**6, 1)])
+def test_hot_groups_against_brute_force(spark, monkeypatch, block, words_each, hot):
     """A large group of copies of one text, many only linked over others, cut into small blocks."""
     rng, base = random.Random(9), words(80, 3).split()
     rows = []
@@ -131,7 +133,10 @@ def test_hot_groups_against_brute_force(spark, monkeypatch):
             w[rng.randrange(80)] = f"q{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
     rows += [(1000 + i, rows[3][1]) for i in range(50)] + [(2000 + i, words(60, 50 + i)) for i in range(30)]
-    monkeypatch.setattr(bag, "BLOCK", 40)
+    monkeypatch.setattr(bag, "BLOCK", block)
+    monkeypatch.setattr(bag, "BLOCK_SHINGLES", 20 * words_each)
+    monkeypatch.setattr(bag, "STAR_ROWS", 30)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA)
     got = dict(found(df))
     want = {rows[i][0]: c for i, (_, c) in classes(rows).items()}
@@ -158,3 +163,57 @@ def test_components_of_chains(spark):
     other = spark.createDataFrame([(100, 101), (101, 100), (102, 101)], "a long, b long")
     got = {r.node: r.component for r in bag.components(chain.unionByName(other)).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    star = spark.range(1, 60).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    tail = spark.createDataFrame([(59, 200), (200, 201), (300, 300)], "a long, b long")
+    got = {r.node: r.component for r in bag.components(star.unionByName(tail)).collect()}
+    assert got == {i: 0 for i in [*range(60), 200, 201]} | {300: 300}
+    assert bag.components(tail.where("a < 0")).count() == 0
+
+
+@pytest.mark.parametrize("hot, most", [(1000, 100), (3, 100), (1, 4)])
+def test_joins_of_hot_keys(spark, monkeypatch, hot, most):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_KEYS", most)
+    rows = spark.createDataFrame([(None if k == 9 else k, i) for k in range(10) for i in range(k + 1)], "k int, i int")
+    unique = spark.createDataFrame([(k, f"v{k}") for k in range(8)], "k int, v string")
+    keys = common.hot_keys(rows.groupBy("k").count())
+    assert (keys is None) == (hot == 1000)
+    assert keys is None or keys.count() <= most
+    for how in ("inner", "left"):
+        got = sorted(map(str, common.join_unique(rows, unique, "k", keys, how).select("k", "i", "v").collect()))
+        assert got == sorted(map(str, rows.join(unique, "k", how).select("k", "i", "v").collect()))
+
+
+def test_bitmaps_keep_all_that_is_wanted(spark, monkeypatch):
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("place"))
+    wanted = rows.where("id % 10 = 0").select("place")
+    got = {r.id for r in common.maybe_among(rows, "place", wanted).collect()}
+    assert {i for i in range(0, 20_000, 10)} <= got and len(got) < 2000 + 18_000 / 32
+    monkeypatch.setattr(common, "MOST_BITS", 1 << 15)
+    few = {r.id for r in common.maybe_among(rows, "place", wanted).collect()}
+    assert got <= few and common.maybe_among(rows, "place", wanted.where("false")).count() == 0
+
+
+def test_verified_stars(spark, monkeypatch):
+    monkeypatch.setattr(bag, "STAR_ROWS", 2)
+    texts = {i: words(30 + i, 1) for i in range(8)} | {8: "", 9: "!!"}
+    stars = [(a, b) for a in (0, 3, 8) for b in range(10) if a != b] + [(0, 77)]
+    held = spark.createDataFrame(list(texts.items()), "node long, text string")
+    got = {(r.a, r.b): r.similarity for r in bag.verified(spark.createDataFrame(stars, "a long, b long"), lambda rows: rows.join(held, "node")).collect()}
+    assert got == pytest.approx({(a, b): jaccard(multiset(texts[a]), multiset(texts[b])) for a, b in stars if b in texts})
+
+
+def test_hashes_of_words():
+    chunks = ["", "a", "a.", "(a)", "...", "é", "«é»", "x-y", "日本", "ab", "ba", "a" * 5000, "a" * 4999, "1½", "_a_", "a\x00", "a\x00b"]
+    got = bag.word_hashes(pa.array(chunks, pa.large_string()))
+    inside = [(tokens_of(c) or [""])[0] for c in chunks]
+    for i, x in enumerate(inside):
+        assert (got[i] == 0) == (x == "")
+        assert [bool(got[i] == g) for g in got] == [x == y for y in inside]
+    many = bag.word_hashes(pa.array([f"w{i}" for i in range(200_000)], pa.large_string()))
+    assert len(np.unique(many)) == 200_000
+    assert bag.word_hashes(pa.array([], pa.large_string())).tolist() == []
