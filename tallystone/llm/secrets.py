@@ -3,12 +3,15 @@
 Candidates are found in every text by three fixed patterns. Each candidate value is hashed, and the
 corpus tells in how many repositories and by how many owners a value occurs. Values of many owners
 are widely copied examples; values of few owners that look random are live-looking
-credentials of their owner.
+credentials of their owner. A value looks random by its kind's collision entropy and by not being a
+run along the alphabet; the value of an assignment also needs a letter and a digit. Numbers of
+characters decide, so every engine agrees.
 
 DataFrame functions only. Positions come from regular expressions alone: the pieces between matches
 and the matches alternate, so running sums of their lengths are the matches' bounds. Hashes are
 first reduced to distinct (value, owner, repository), with partial aggregation before each shuffle,
-so a value that a third of all documents hold is a few rows per task.
+so a value that a third of all documents hold is a few rows per task. Verdicts of the most frequent
+values, a bounded number, go back to the documents by broadcast, and those of all others by shuffle.
 """
 
 from __future__ import annotations
@@ -31,10 +34,11 @@ VERDICTS = ("live", "copied")
 
 #: Owners from which a value counts as widely copied.
 COPIED_OWNERS = 3
-#: Distinct characters from which a value looks random.
-LIVE_CHARACTERS = 6
-PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your|xxxx|test|0123456789|1234567890|abcdef"
-
+#: A kind's least 2 ** (collision entropy): n characters look random if n * n is at least this many
+#: times the sum of the squares of each character's number. 4 is 2 bits, of the 4 that hex can have.
+LEAST_SPREAD = (6, 6, 4)
+#: At most so many of 5 steps between neighbours may be to the same or the next character.
+MOST_STEPS = 4
 BLOCK = 128
 
 
@@ -74,12 +78,29 @@ def with_base_spans(df: DataFrame, text_col: str = "text", name: str = "base") -
     return df.withColumn(name, F.sort_array(F.concat(assign, spans(text, ACCESS, 1), spans(text, HEX, 2))))
 
 
+def looks_random(value: Column, kind: Column) -> Column:
+    """Whether a value of a kind's characters (ASCII) could be drawn at random."""
+    n = F.length(value).cast("long")
+
+    def by(chars: Column) -> Column:
+        number = lambda c: (n - F.length(F.replace(value, c, F.lit("")))).cast("long")
+        squares = F.aggregate(F.array_distinct(chars), F.lit(0).cast("long"), lambda a, c: a + number(c) * number(c))
+        codes = F.transform(chars, F.ascii)
+        near = F.size(F.filter(F.zip_with(F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0))), F.slice(codes, 2, F.size(codes)), lambda a, b: F.abs(a - b) <= 1), lambda x: x))
+        spread = F.element_at(F.array(*[F.lit(x) for x in LEAST_SPREAD]), kind + 1)
+        mixed = (kind != 0) | (value.rlike("[0-9]") & value.rlike("[A-Za-z]"))
+        return (n * n >= spread * squares) & (near * 5 <= (n - 1) * MOST_STEPS) & mixed
+
+    return _once(F.split(value, ""), by)
+
+
 def candidates(base: Column) -> Column:
     """Distinct values of a document's base spans: (start, end, value_hash, live-looking). The value
-    of an assignment ends where its span ends."""
-    one = lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash"), (~s["value"].rlike(PLACEHOLDER) & (F.size(F.array_distinct(F.split(s["value"], ""))) >= LIVE_CHARACTERS)).alias("random"))
-    # Equal candidates are neighbours after sorting.
-    return _once(F.sort_array(F.transform(base, one)), lambda all_: F.filter(all_, lambda x, i: (i == 0) | (x != all_[i - 1])))
+    of an assignment ends where its span ends. A value of two kinds is live-looking by either."""
+    one = lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash"), looks_random(s["value"], s["kind"]).alias("random"))
+    # Candidates of one place are neighbours after sorting, the live-looking ones last.
+    last = lambda all_: F.filter(all_, lambda x, i: (i == F.size(all_) - 1) | F.coalesce((x["start"] != F.get(all_, i + 1)["start"]) | (x["end"] != F.get(all_, i + 1)["end"]), F.lit(True)))
+    return _once(F.sort_array(F.transform(base, one)), last)
 
 
 def ownership(found: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
@@ -96,9 +117,10 @@ def judged(rows: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
     """From rows (row_id, owner, repo, found: array of candidates): row_id and ``added``, the sorted
     array of (start, verdict number, end, owners, repos, copies) of candidates with a verdict."""
     each = rows.where(F.size("found") > 0).select("row_id", "owner", "repo", F.explode("found").alias("c")).select("row_id", "owner", "repo", "c.*")
-    verdicts = ownership(each.select("hash", "random", "owner", "repo"), copied_owners).where(F.col("verdict").isNotNull())
+    verdicts = common.written(ownership(each.select("hash", "random", "owner", "repo"), copied_owners).where(F.col("verdict").isNotNull()), "verdicts")
     number = F.when(F.col("verdict") == "live", 0).otherwise(1).alias("verdict")
-    known = each.select("row_id", "start", "end", "hash").join(verdicts, "hash")
+    hot = common.hot_keys(verdicts.select("hash", "copies"), "copies")
+    known = common.join_unique(each.select("row_id", "start", "end", "hash"), verdicts, "hash", hot)
     # A group is one document's candidates.
     return known.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start", number, "end", "owners", "repos", "copies"))).alias("added"))
 
@@ -113,28 +135,31 @@ def scan(df: DataFrame, owner: Column, repo: Column, id_col: str = "doc_id", tex
     ``base`` and ``spans`` (kind:start:end, sorted by start, then kind: assign, access, hex, live,
     copied), max_owners and max_repos (long, of candidates with a verdict; 0 without).
 
-    Null text is empty; rows of the same or no id stay apart; no other column is carried. Values
-    themselves are never kept, only SHA-256 hashes.
+    Null text is empty; rows of the same or no id stay apart; no other column is carried, and the
+    id may have any name. Values themselves are never kept, only SHA-256 hashes.
     """
-    rows = with_base_spans(df.select(F.col(id_col), F.col(text_col), owner.alias("owner"), repo.alias("repo")), text_col)
+    rows = with_base_spans(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), owner.alias("owner"), repo.alias("repo")), "__text")
     plain = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"]))
     # One pass over the texts; all that follows is about candidates.
-    rows = rows.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col), "owner", "repo", plain.alias("base"), candidates(F.col("base")).alias("found"))
+    rows = rows.select(F.monotonically_increasing_id().alias("row_id"), "__id", "owner", "repo", plain.alias("base"), candidates(F.col("base")).alias("found"))
     rows = common.written(rows, "candidates")
     added = F.coalesce(F.col("added"), F.array().cast("array<struct<start:int,verdict:int,end:int,owners:bigint,repos:bigint,copies:bigint>>"))
-    out = rows.select("row_id", id_col, "base").join(judged(rows, copied_owners), "row_id", "left").withColumn("added", added)
+    out = rows.select("row_id", "__id", "base").join(judged(rows, copied_owners), "row_id", "left").withColumn("added", added)
     count = lambda of, name, k: F.size(F.filter(of, lambda s: s[name] == k)).cast("long")
     both = F.sort_array(F.concat("base", F.transform("added", lambda s: F.struct(s["start"].alias("start"), (s["verdict"] + len(KINDS)).alias("kind"), s["end"].alias("end")))))
     most = lambda name: F.coalesce(F.array_max(F.transform("added", lambda s: s[name])), F.lit(0)).cast("long").alias(f"max_{name}")
-    return out.select(id_col, *[count("base", "kind", k).alias(f"n_{name}") for k, name in enumerate(KINDS)], *[count("added", "verdict", k).alias(f"n_{name}") for k, name in enumerate(VERDICTS)], _rendered(F.col("base"), KINDS).alias("base"), _rendered(both, KINDS + VERDICTS).alias("spans"), most("owners"), most("repos"))
+    return out.select(F.col("__id").alias(id_col), *[count("base", "kind", k).alias(f"n_{name}") for k, name in enumerate(KINDS)], *[count("added", "verdict", k).alias(f"n_{name}") for k, name in enumerate(VERDICTS)], _rendered(F.col("base"), KINDS).alias("base"), _rendered(both, KINDS + VERDICTS).alias("spans"), most("owners"), most("repos"))
 
 
 def redacted(df: DataFrame, owner: Column, repo: Column, text_col: str = "text", mark: str = "[redacted]", copied_owners: int = COPIED_OWNERS) -> DataFrame:
     """``df`` with live-looking credentials replaced by ``mark``. Rows without any keep their text
-    unchanged; widely copied examples and everything else stay."""
+    unchanged; widely copied examples and everything else stay. Null texts stay null, repeated rows
+    stay rows, and an empty table gives an empty one. The patterns run once: their pass is written.
+    Names that begin with ``__`` must not occur."""
     columns = df.columns
     found = with_base_spans(df, text_col, "__base").withColumn("__found", candidates(F.col("__base"))).drop("__base")
-    held = common.written(found.where(F.size("__found") > 0).withColumns({"__row": F.monotonically_increasing_id(), "__owner": owner, "__repo": repo}), "flagged")
+    found = common.written(found.withColumns({"__row": F.monotonically_increasing_id(), "__owner": owner, "__repo": repo}), "flagged")
+    held = found.where(F.size("__found") > 0)
     live = F.filter("added", lambda s: s["verdict"] == 0)
     added = judged(held.select(F.col("__row").alias("row_id"), F.col("__owner").alias("owner"), F.col("__repo").alias("repo"), F.col("__found").alias("found")), copied_owners).select(F.col("row_id").alias("__row"), live.alias("__live"))
     state = lambda pos, out: F.struct(pos.cast("int").alias("pos"), out.alias("out"))
@@ -171,9 +196,11 @@ base AS (
   SELECT doc_id, source, repo, kind, v[i] AS value, start, start + length(m[i]) AS stop
   FROM (SELECT *, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM s)
   WHERE kind <> 0 OR length(v[i]) >= {ASSIGN_LEAST}),
-cand AS (
-  SELECT DISTINCT doc_id, source, repo, stop - length(value) AS start, stop, value,
-         NOT regexp_matches(value, '{PLACEHOLDER}') AND len(list_distinct(string_split(value, ''))) >= {LIVE_CHARACTERS} AS random FROM base),
+looks AS (
+  SELECT *, length(value) * length(value) >= [{", ".join(map(str, LEAST_SPREAD))}][kind + 1] * list_sum(list_transform(list_distinct(string_split(value, '')), lambda c: (length(value) - length(replace(value, c, ''))) * (length(value) - length(replace(value, c, '')))))
+         AND 5 * len(list_filter(range(2, length(value) + 1), lambda i: abs(ascii(value[i]) - ascii(value[i - 1])) <= 1)) <= {MOST_STEPS} * (length(value) - 1)
+         AND (kind <> 0 OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]'))) AS random FROM base),
+cand AS (SELECT doc_id, source, repo, stop - length(value) AS start, stop, value, bool_or(random) AS random FROM looks GROUP BY ALL),
 own AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) AS owners, count(DISTINCT coalesce(source, chr(1)) || chr(2) || coalesce(repo, chr(1))) AS repos, bool_or(random) AS random FROM cand GROUP BY value),
 verdicts AS (SELECT value, owners, repos, CASE WHEN owners >= {COPIED_OWNERS} THEN 4 WHEN random THEN 3 END AS kind FROM own),
 added AS (SELECT c.doc_id, v.kind, c.start, c.stop, v.owners, v.repos FROM cand c JOIN verdicts v ON c.value = v.value WHERE v.kind IS NOT NULL),

@@ -1,10 +1,11 @@
 import hashlib
+import random
 import re
 
 from odd_rows import ODD
 from pyspark.sql import functions as F
 
-from tallystone.llm import secrets
+from tallystone.llm import common, secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -57,3 +58,42 @@ def test_redaction_of_odd_rows(odd, none):
     assert {r.text for r in found.where("doc_id = 4").collect()} == {"token = '[redacted]' and [redacted]"}
     assert secrets.redacted(none, F.col("source"), F.col("lang")).count() == 0
     assert secrets.scan(none, F.col("source"), F.col("lang")).count() == 0
+
+
+def looks_random(value, kind):
+    """The rule in plain Python."""
+    squares = sum(value.count(c) ** 2 for c in set(value))
+    near = sum(abs(ord(a) - ord(b)) <= 1 for a, b in zip(value, value[1:], strict=False))
+    mixed = kind != 0 or re.search("[0-9]", value) and re.search("[A-Za-z]", value)
+    return bool(len(value) ** 2 >= (6, 6, 4)[kind] * squares and 5 * near <= 4 * (len(value) - 1) and mixed)
+
+
+def test_what_looks_random(spark):
+    rng = random.Random(4)
+    drawn = [("".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(16, 64))), 2) for _ in range(300)]
+    drawn += [("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(14, 40))) + "a1", 0) for _ in range(300)]
+    drawn += [("AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)), 1) for _ in range(300)]
+    plain = [("0123456789abcdef", 2), ("f" * 40, 2), ("deadbeef" * 8, 2), ("abcdefghijkl", 0), ("your-token-here", 0), ("xxxxxxxxxxxxxxx1", 0), ("123456789012", 0), ("AKIA" + "X" * 16, 1), ("AKIA" + "A" * 14, 1), ("000000000000000a", 2)]
+    df = spark.createDataFrame(drawn + plain, "v string, kind int")
+    got = {(r.v, r.kind): r.random for r in df.select("v", "kind", secrets.looks_random(F.col("v"), F.col("kind")).alias("random")).collect()}
+    assert got == {(v, k): looks_random(v, k) for v, k in drawn + plain}
+    assert sum(got[x] for x in drawn) >= 0.98 * len(drawn)
+    assert [x for x in plain if got[x] and x[0] != "deadbeef" * 8] == []
+
+
+def test_frequent_values_go_by_broadcast(spark, docs, monkeypatch):
+    rows = [(i, f"token = {'Ab3dEf6hIj9kLm' if i % 3 else f'Zx81kQ{i}pw72LmN'}", f"owner{i % 5}", "r") for i in range(300)]
+    df = spark.createDataFrame(rows, "owner long, text string, row_id string, repo string")
+    find = lambda: sorted(map(tuple, secrets.scan(df, F.col("row_id"), F.col("repo"), "owner").collect()))
+    plain = find()
+    assert [r[0] for r in plain] == list(range(300)) and {r[5] for r in plain if r[0] % 3} == {1}
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
+    assert find() == plain
+
+
+def test_values_of_two_kinds_count_once(spark):
+    df = spark.createDataFrame([(1, "token=1f9b03c7d25a86e4"), (2, "secret: cafebabedeadbeefcafefeed")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_live, r.spans) for r in secrets.scan(df, F.lit("o"), F.lit("r")).collect()}
+    assert got[1] == (1, "assign:0:22,hex:6:22,live:6:22")
+    assert got[2][0] == 1
