@@ -1,12 +1,15 @@
 """TIFF media columns (operator 1).
 
 ``pages`` walks the image file directories of TIFF blobs, decodes PackBits, LZW, deflate and
-uncompressed strips and tiles, undoes predictors, and gives one row per page. ``encode`` is the
-writer that tests and the query use.
-
-Classic TIFF (version 42) of either byte order is read: 8, 16 and 32 bit samples, chunky or planar,
-predictor 1 or 2. A page that can't be decoded gives a row with ``error``; a blob whose header or
-directory chain is damaged gives its readable pages and one row with ``error``.
+uncompressed strips and tiles, undoes predictors, and gives one row per page; ``blocks`` gives one row
+per strip or tile, for pages that are too large for a row. ``encode`` is the writer that tests and the
+query use.
+
+Read are classic TIFF (version 42) and BigTIFF (43) of either byte order; samples of 1, 2, 4, 8, 16, 32
+or 64 bits, all of a page alike, chunky or planar; predictors 1, 2 (not below 8 bits) and 3 (floating
+point, from 16 bits). Samples below 8 bits come out as a byte each. What can't be decoded gives a row
+with ``error``; a blob whose header or directory chain is damaged gives its readable pages and one
+row with ``error``.
 """
 
 from __future__ import annotations
@@ -27,11 +30,12 @@ from tallystone.llm import common
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
-TYPES = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
+TYPES = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4), 16: ("Q", 8)}
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", PACKBITS: "packbits", OLD_DEFLATE: "deflate"}
 
-#: A page's pixels may take this much memory; beyond, the row has an error.
+#: A page's pixels, or a strip's or tile's, may take this much memory; beyond, the row has an error. A
+#: larger page is read by ``blocks``.
 MOST_PAGE_BYTES = 1 << 30
 
 
@@ -230,104 +234,186 @@ def encode(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int =
 def directories(blob: bytes) -> Iterator[tuple[str, dict[int, tuple[int, ...]]]]:
     """Byte order and tags of each image file directory in the chain. Loops end with an error."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(blob[:2]))
-    if order is None or len(blob) < 8 or struct.unpack_from(order + "H", blob, 2)[0] != 42:
+    version = struct.unpack_from(order + "H", blob, 2)[0] if order and len(blob) >= 8 else None
+    if version not in (42, 43) or version == 43 and (len(blob) < 16 or struct.unpack_from(order + "HH", blob, 4) != (8, 0)):
         raise ValueError("no TIFF header")
-    at, seen = struct.unpack_from(order + "I", blob, 4)[0], set()
+    # Letters of an offset and of a directory's length; sizes of the length, an entry and an offset.
+    offset, length, head, size, wide = ("I", "H", 2, 12, 4) if version == 42 else ("Q", "Q", 8, 20, 8)
+    at, seen = struct.unpack_from(order + offset, blob, wide)[0], set()
     while at:
-        if at in seen or at + 2 > len(blob):
+        if at in seen or at + head > len(blob):
             raise ValueError("the chain of directories is damaged")
         seen.add(at)
-        n = struct.unpack_from(order + "H", blob, at)[0]
-        if at + 2 + 12 * n + 4 > len(blob):
+        n = struct.unpack_from(order + length, blob, at)[0]
+        if at + head + size * n + wide > len(blob):
             raise ValueError("a directory ends behind the file")
         tags: dict[int, tuple[int, ...]] = {}
         for k in range(n):
-            where = at + 2 + 12 * k
-            tag, kind, count = struct.unpack_from(order + "HHI", blob, where)
+            where = at + head + size * k
+            tag, kind, count = struct.unpack_from(order + "HH" + offset, blob, where)
             if kind not in TYPES:
                 continue
             letter, width = TYPES[kind]
-            start = where + 8 if count * width <= 4 else struct.unpack_from(order + "I", blob, where + 8)[0]
+            value = where + 4 + wide
+            start = value if count * width <= wide else struct.unpack_from(order + offset, blob, value)[0]
             if start + count * width > len(blob):
                 raise ValueError(f"tag {tag} lies behind the file")
             tags[tag] = struct.unpack_from(f"{order}{count}{letter}", blob, start)
         yield order, tags
-        at = struct.unpack_from(order + "I", blob, at + 2 + 12 * n)[0]
+        at = struct.unpack_from(order + offset, blob, at + head + size * n)[0]
 
 
-def decode_page(blob: bytes, order: str, tags: dict[int, tuple[int, ...]]) -> np.ndarray:
-    """Samples of one page: height x width x samples."""
+def _unpacked(data: bytes, rows: int, samples: int, bits: int) -> np.ndarray:
+    """Rows of ``samples`` numbers of 1, 2 or 4 bits, each row from a byte of its own."""
+    single = np.unpackbits(np.frombuffer(data, np.uint8).reshape(rows, -1), axis=1)[:, : samples * bits]
+    return (single.reshape(rows, samples, bits) << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)
+
+
+def _unpredicted(block: np.ndarray, predictor: int) -> np.ndarray:
+    if predictor == 1:
+        return block
+    if predictor == 2:
+        return np.cumsum(block, axis=1, dtype=block.dtype)
+    # 3: a row's bytes are differences, a plane for each byte of a sample, most significant first.
+    rows, width, depth = block.shape
+    size = block.dtype.itemsize
+    raw = np.ascontiguousarray(block).view(np.uint8).reshape(rows, -1, depth)
+    planes = np.cumsum(raw, axis=1, dtype=np.uint8).reshape(rows, size, width * depth)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">u{size}").astype(block.dtype).reshape(block.shape)
+
+
+def decode_blocks(blob: bytes, order: str, tags: dict[int, tuple[int, ...]]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(first sample, y, x, samples: height x width x depth) of each strip or tile, cut to the page."""
     one = lambda tag, default=None: tags[tag][0] if tags.get(tag) else default
     width, height, samples, planar = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(PLANAR, 1)
     bits = tags.get(BITS, (1,))
-    if width is None or height is None or len(set(bits)) != 1 or bits[0] not in (8, 16, 32):
-        raise ValueError("only pages of 8, 16 or 32 bits a sample are supported")
-    if width * height * samples * bits[0] // 8 > MOST_PAGE_BYTES:
-        raise ValueError("the page is too large")
-    kind, compression, predictor = np.dtype(f"{order}u{bits[0] // 8}"), one(COMPRESSION, 1), one(PREDICTOR, 1)
-    if predictor not in (1, 2):
-        raise ValueError(f"predictor {predictor} isn't supported")
+    if width is None or height is None or len(set(bits)) != 1 or bits[0] not in (1, 2, 4, 8, 16, 32, 64):
+        raise ValueError("only pages of 1, 2, 4, 8, 16, 32 or 64 bits a sample are supported")
+    bits, compression, predictor = bits[0], one(COMPRESSION, 1), one(PREDICTOR, 1)
+    if predictor not in (1, 2, 3) or predictor == 2 and bits < 8 or predictor == 3 and bits < 16:
+        raise ValueError(f"predictor {predictor} isn't supported for {bits} bits")
+    kind = np.dtype(f"{order}u{max(bits, 8) // 8}")
     planes, depth = (samples, 1) if planar == 2 else (1, samples)
     tiled = TILE_OFFSETS in tags
     offsets, counts = (tags.get(TILE_OFFSETS), tags.get(TILE_COUNTS)) if tiled else (tags.get(STRIP_OFFSETS), tags.get(STRIP_COUNTS))
     bh, bw = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(ROWS_PER_STRIP, height), height), width)
-    if not offsets or not counts or len(offsets) != len(counts) or not bh or not bw:
+    if not offsets or not counts or len(offsets) != len(counts) or not bh or not bw or not depth:
         raise ValueError("strips or tiles are missing")
-    down, across = -(-height // bh), -(-width // bw)
-    if len(offsets) < down * across * planes:
+    if len(offsets) < -(-height // bh) * -(-width // bw) * planes:
         raise ValueError("strips or tiles are missing")
-    page = np.empty((height, width, samples), kind.newbyteorder("="))
+    if bh * bw * depth * kind.itemsize > MOST_PAGE_BYTES:
+        raise ValueError("a strip or tile is too large")
     k = 0
     for plane in range(planes):
         for y in range(0, height, bh):
             for x in range(0, width, bw):
                 rows = bh if tiled else min(bh, height - y)
-                data = _decode(compression, blob[offsets[k] : offsets[k] + counts[k]], rows * bw * depth * kind.itemsize)
-                block = np.frombuffer(data, kind).reshape(rows, bw, depth).astype(page.dtype, copy=False)
-                if predictor == 2:
-                    block = np.cumsum(block, axis=1, dtype=page.dtype)
-                page[y : y + bh, x : x + bw, plane : plane + depth] = block[: height - y, : width - x]
+                data = _decode(compression, blob[offsets[k] : offsets[k] + counts[k]], rows * -(-bw * depth * bits // 8))
+                block = np.frombuffer(data, kind) if bits >= 8 else _unpacked(data, rows, bw * depth, bits)
+                block = block.reshape(rows, bw, depth)
+                # Predictor 3 has an order of bytes of its own.
+                block = block.view(kind.newbyteorder("=")) if predictor == 3 else block.astype(kind.newbyteorder("="), copy=False)
+                yield plane, y, x, _unpredicted(block, predictor)[: height - y, : width - x]
                 k += 1
+
+
+def decode_page(blob: bytes, order: str, tags: dict[int, tuple[int, ...]]) -> np.ndarray:
+    """Samples of one page: height x width x samples."""
+    height, width, samples = (tags.get(t, (d,))[0] for t, d in ((HEIGHT, 0), (WIDTH, 0), (SAMPLES, 1)))
+    if height * width * samples * max(tags.get(BITS, (1,))[0], 8) // 8 > MOST_PAGE_BYTES:
+        raise ValueError("the page is too large for a row: read its blocks")
+    page = None
+    for first, y, x, block in decode_blocks(blob, order, tags):
+        if page is None:
+            page = np.empty((height, width, samples), block.dtype)
+        page[y : y + block.shape[0], x : x + block.shape[1], first : first + block.shape[2]] = block
     return page
 
 
-def read_pages(blob: bytes) -> Iterator[dict]:
-    """One dict per page: page, width, height, samples, bits, compression, predictor, tiled, pixels
-    (bytes, machine order, chunky) and error (None if it was decoded)."""
-    blob = bytes(blob)
-    number = 0
+_FAULTS = (ValueError, IndexError, zlib.error, struct.error)
+
+
+def _about(number: int, tags: dict[int, tuple[int, ...]]) -> dict:
+    return {"page": number, "width": tags.get(WIDTH, (None,))[0], "height": tags.get(HEIGHT, (None,))[0], "samples": tags.get(SAMPLES, (1,))[0], "bits": tags.get(BITS, (1,))[0], "compression": NAMES.get(tags.get(COMPRESSION, (1,))[0], "other"), "predictor": tags.get(PREDICTOR, (1,))[0], "tiled": TILE_OFFSETS in tags}
+
+
+def _each_directory(blob: bytes, rows) -> Iterator[dict]:
+    """``rows(order, tags)`` of each page, as far as it goes, with the page's columns; faults as rows."""
+    blob, number, about = bytes(blob), 0, {}
     try:
         for order, tags in directories(blob):
-            row = {"page": number, "width": tags.get(WIDTH, (None,))[0], "height": tags.get(HEIGHT, (None,))[0], "samples": tags.get(SAMPLES, (1,))[0], "bits": tags.get(BITS, (1,))[0], "compression": NAMES.get(tags.get(COMPRESSION, (1,))[0], "other"), "predictor": tags.get(PREDICTOR, (1,))[0], "tiled": TILE_OFFSETS in tags}
+            about = _about(number, tags)
             try:
-                yield row | {"pixels": decode_page(blob, order, tags).tobytes(), "error": None}
-            except (ValueError, IndexError, zlib.error, struct.error) as e:
-                yield row | {"pixels": None, "error": str(e)}
+                for row in rows(blob, order, tags):
+                    yield about | row | {"error": None}
+            except _FAULTS as e:
+                yield about | {"error": str(e)}
             number += 1
     except (ValueError, struct.error) as e:
-        yield dict.fromkeys(("width", "height", "samples", "bits", "compression", "predictor", "tiled", "pixels")) | {"page": number, "error": str(e)}
+        yield {"page": number, "error": str(e)}
+
+
+def read_pages(blob: bytes) -> Iterator[dict]:
+    """One dict per page: page, width, height, samples, bits, compression, predictor, tiled, pixels
+    (bytes, machine order, chunky) and error (None if it was decoded; else columns may be missing)."""
+    return _each_directory(blob, lambda *page: [{"pixels": decode_page(*page).tobytes()}])
+
+
+def read_blocks(blob: bytes) -> Iterator[dict]:
+    """One dict per strip or tile: the columns of ``read_pages`` and first_sample, y, x, block_height,
+    block_width; pixels are the block's. A page's rows end with the first that can't be decoded."""
+    return _each_directory(blob, lambda *page: ({"first_sample": first, "y": y, "x": x, "block_height": block.shape[0], "block_width": block.shape[1], "pixels": block.tobytes()} for first, y, x, block in decode_blocks(*page)))
 
 
 PAGE_SCHEMA = "page int, width long, height long, samples int, bits int, compression string, predictor int, tiled boolean, pixels binary, error string"
+BLOCK_SCHEMA = "first_sample int, y long, x long, block_height long, block_width long, " + PAGE_SCHEMA
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
-def pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row per page of the TIFF blobs in ``media_col``: ``id_col`` and the columns of
-    ``read_pages``. Null blobs give no row, empty or damaged ones a row with ``error``; repeated rows
-    give repeated pages; other columns are not carried."""
-    rows = df.select(F.col(id_col), F.col(media_col).cast("binary").alias("__blob")).where(F.col("__blob").isNotNull())
-    kind = rows.schema[0].dataType.simpleString()
-    names = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.string()]
+def _rows_of_media(df: DataFrame, id_col: str, media_col: str, keep: list[str], schema: str, read) -> DataFrame:
+    fields = [x.split() for x in schema.split(", ")]
+    names = {n for n, _ in fields}
+    carried = [id_col, *(c for c in keep if c != id_col)]
+    shown = [c if c not in names else f"{c}_in" for c in carried]
+    rows = df.select(F.col(media_col).cast("binary").alias("__blob"), *[F.col(c).alias(n) for c, n in zip(carried, shown, strict=True)]).where(F.col("__blob").isNotNull())
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, 0):
+            held, of, size = [], [], 0
             for i in range(batch.num_rows):
-                found = list(read_pages(batch.column(1)[i].as_py()))
-                columns = [batch.column(0).take(pa.array([i] * len(found), pa.int64()))] + [pa.array([r[n] for r in found], t) for n, t in zip(names, types, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, [id_col, *names])
+                for row in read(batch.column(0)[i].as_py()):
+                    held.append(row)
+                    of.append(i)
+                    size += len(row.get("pixels") or b"")
+                    if size > common.SLICE_BYTES:
+                        yield _media_batch(batch, held, of, shown, fields)
+                        held, of, size = [], [], 0
+            if held:
+                yield _media_batch(batch, held, of, shown, fields)
+
+    return rows.mapInArrow(run, ", ".join([*kinds, schema]))
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, {PAGE_SCHEMA}")
+
+def _media_batch(batch: pa.RecordBatch, held: list[dict], of: list[int], shown: list[str], fields: list[list[str]]) -> pa.RecordBatch:
+    at = pa.array(of, pa.int64())
+    return pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[1:]), *(pa.array([r.get(n) for r in held], _ARROW[t]) for n, t in fields)], [*shown, *(n for n, _ in fields)])
+
+
+def pages(df: DataFrame, id_col: str, media_col: str, keep: list[str] | None = None) -> DataFrame:
+    """One row per page of the TIFF blobs in ``media_col``: ``id_col``, the columns in ``keep``, and
+    the columns of ``read_pages``. Pages of a blob are neighbours, from page 0 on, in one partition.
+
+    Null blobs give no row, empty or damaged ones a row with ``error``; repeated rows give repeated
+    pages; other columns are not carried. A carried column that is named like a page's gets ``_in``
+    behind its name. A page above ``MOST_PAGE_BYTES`` has an error here: ``blocks`` reads it."""
+    return _rows_of_media(df, id_col, media_col, keep or [], PAGE_SCHEMA, read_pages)
+
+
+def blocks(df: DataFrame, id_col: str, media_col: str, keep: list[str] | None = None) -> DataFrame:
+    """One row per strip or tile, as ``pages`` but with the columns of ``read_blocks``, so a page of
+    any size takes the memory of one block."""
+    return _rows_of_media(df, id_col, media_col, keep or [], BLOCK_SCHEMA, read_blocks)
 
 
 #: Payload bytes per row of a page, and rows per page, of ``text_image``.
@@ -358,37 +444,65 @@ def stored_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
-def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Reads stored texts back and returns their digests and features, a row per blob. Pages of a
-    blob are decoded by ``read_pages`` and used one after the other, so no page is shuffled."""
-    kind = media.schema[id_col].dataType.simpleString()
+def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """From ``pages`` of stored texts, as it comes, with n_bytes, media_bytes and media_sha256 kept:
+    the payloads' digests and features, a row per blob. A page that couldn't be decoded raises."""
+    kind = found.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, blob, done = None, None, []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
         for batch in batches:
-            rows = []
-            for blob in batch.column(2).to_pylist():
-                digest, tail, size, n, how = hashlib.sha256(), b"", 0, 0, ""
-                histogram = np.zeros(256, np.int64)
-                for page in read_pages(blob):
-                    if page["error"]:
-                        raise ValueError(page["error"])
-                    data = page["pixels"]
-                    digest.update(data)
-                    tail, size, n = (tail + data)[-64:], size + len(data), n + 1
-                    histogram += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-                    how = f"{page['compression']}/{page['predictor']}/{'tiles' if page['tiled'] else 'strips'}"
-                mean = float((histogram * np.arange(256)).sum() / size)
-                p = histogram[histogram > 0] / size
-                feature = f"{n}x{ROW_BYTES} {how} mean={mean:.6f} entropy={-float((p * np.log2(p)).sum()):.6f}"
-                rows.append((size, digest.hexdigest(), zlib.crc32(tail), len(blob), hashlib.sha256(blob).hexdigest(), feature))
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.select(id_col, "n_bytes", "media").mapInArrow(run, schema)
+            types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                page, compression, predictor, tiled, pixels, error = row[4:]
+                if error:
+                    raise ValueError(error)
+                if page == 0:
+                    if blob:
+                        done.append(blob.row())
+                    blob = _Payload(row[:4])
+                blob.add(pixels, f"{compression}/{predictor}/{'tiles' if tiled else 'strips'}")
+            if len(done) >= 1000:
+                yield batch_of(done)
+                done = []
+        if blob:
+            yield batch_of([*done, blob.row()])
+
+    return found.select(id_col, "n_bytes", "media_bytes", "media_sha256", "page", "compression", "predictor", "tiled", "pixels", "error").mapInArrow(run, schema)
+
+
+class _Payload:
+    """What the pages of one blob add up to."""
+
+    def __init__(self, about: tuple):
+        self.about, self.digest, self.tail, self.size, self.n, self.how = about, hashlib.sha256(), b"", 0, 0, ""
+        self.histogram = np.zeros(256, np.int64)
+
+    def add(self, pixels: bytes, how: str) -> None:
+        self.digest.update(pixels)
+        self.tail, self.size, self.n, self.how = (self.tail + pixels)[-64:], self.size + len(pixels), self.n + 1, how
+        self.histogram += np.bincount(np.frombuffer(pixels, np.uint8), minlength=256)
+
+    def row(self) -> tuple:
+        of, n_bytes, media_bytes, media_sha256 = self.about
+        mean = float((self.histogram * np.arange(256)).sum() / self.size)
+        p = self.histogram[self.histogram > 0] / self.size
+        feature = f"{self.n}x{ROW_BYTES} {self.how} mean={mean:.6f} entropy={-float((p * np.log2(p)).sum()):.6f}"
+        return of, n_bytes, self.size, self.digest.hexdigest(), zlib.crc32(self.tail), media_bytes, media_sha256, feature
+
+
+def stored_and_read(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``digests`` of ``pages`` of ``stored_texts``."""
+    media = stored_texts(df, id_col, text_col).withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    return digests(pages(media, id_col, "media", ["n_bytes", "media_bytes", "media_sha256"]), id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op1: every text through a TIFF and back."""
-    return digests(stored_texts(common.documents(spark, sf_dir)))
+    """op1: every text through a TIFF and back, page by page."""
+    return stored_and_read(common.documents(spark, sf_dir))
