@@ -2,17 +2,19 @@
 
 Documents become token pieces of at most ``capacity`` ids. Pieces are dealt into groups of bounded
 size, and best-fit decreasing packs each group. A lower bound from dual-feasible functions
-certifies a group whose bin count reaches it. Bins that hold free room are then given up:
-their pieces meet those of other groups in new groups, and best-fit decreasing runs again, as long
-as this saves bins and the open bins aren't one certified group. Open bins of certified groups are
-given up too: a group that needs no bin fewer alone may need fewer with others.
+certifies a group whose bin count reaches it: such a group is closed. Groups with a gap give up their
+bins that hold free room; the pieces of these meet in new groups, and best-fit decreasing runs
+again, as long as there are gaps and this saves bins. Only then the same bound, over the pieces of
+all open bins together, tells whether open bins of certified groups could be saved too: each group
+alone may need its last bin, and all of them together fewer. Where it says so, they meet as well; at
+the bound, nothing is moved.
 """
 
 from __future__ import annotations
 
-import itertools
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces in a group: what one task packs at once.
 GROUP_ROWS = 20_000
+#: A sequence's number is its round, group and bin: 10, 33 and 20 bits.
+MOST_ROUNDS, MOST_GROUPS, GROUP_BITS = 1 << 10, 1 << 33, 20
 ADDED = ("sequence_id", "offset", "certified")
 
 
@@ -38,7 +42,12 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     that round lengths above capacity - e up to a full bin and those below e down to none.
     All sums are whole numbers, so no rounding weakens the certificate.
     """
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)[: capacity + 1]
+    return histogram_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def histogram_bound(count: np.ndarray, capacity: int) -> int:
+    """``lower_bound`` from the number of pieces of each length from 0 to ``capacity``."""
+    count = count.astype(np.int64)[: capacity + 1]
     x = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * x).sum()) // capacity)
     cuts = np.arange(0, capacity // 2 + 1)
@@ -85,6 +94,10 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, n_bins
 
 
+def sequence_ids(round_: int, group: int, bins: np.ndarray) -> np.ndarray:
+    return (round_ * MOST_GROUPS + group << GROUP_BITS) + bins.astype(np.int64)
+
+
 def _packer(length_col: str, capacity: int, fields: list[str], round_: int):
     def pack_group(table: pa.Table) -> pa.Table:
         table = table.sort_by([("__pid", "ascending")])
@@ -93,7 +106,7 @@ def _packer(length_col: str, capacity: int, fields: list[str], round_: int):
         bins, offsets, n = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)
         certified = n == lower_bound(lengths, capacity)
-        ids = ((round_ * (1 << 40)) + group * (1 << 20) + bins).astype(np.int64)
+        ids = sequence_ids(round_, group, bins)
         added = {"sequence_id": ids, "offset": offsets, "certified": np.full(len(bins), certified), "__room": capacity - fill[bins]}
         table = table.select(fields)
         for name, values in added.items():
@@ -108,40 +121,55 @@ def pack(df: DataFrame, length_col: str = "length", capacity: int = CAPACITY, gr
 
     Returns the rows with ``sequence_id`` long, ``offset`` long (gapless from 0 within a sequence)
     and ``certified`` boolean (the group that packed the row needs no bin fewer). Same-named
-    columns of the input are replaced. Lengths must be 1 to ``capacity``; null and 0 are packed as
-    rows of no length at the end of a sequence of their group. Repeated rows are packed each.
-    An empty table gives an empty one. ``rounds`` bounds the exchanges; None goes on while they save bins.
+    columns of the input are replaced. Lengths must be whole numbers up to ``capacity``: a longer one
+    raises an error while rows are read; null, 0 and negative ones are packed as rows of no length at
+    the end of a sequence of their group. Repeated rows are packed each. An empty table gives an
+    empty one. ``rounds`` bounds the exchanges; None goes on while they save bins.
     """
-    if group_rows >= 1 << 20:
+    if group_rows >= 1 << GROUP_BITS:
         raise ValueError("group_rows must be below 2**20")
-    df = df.drop(*ADDED, "__pid", "__group", "__room").withColumn(length_col, F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(0)).cast("long"))
+    length = F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(0)).cast("long")
+    df = df.drop(*ADDED, "__pid", "__group", "__room").withColumn(length_col, F.when(length > capacity, F.raise_error(F.lit(f"a length is above the capacity of {capacity}"))).otherwise(length))
     fields = df.columns + ["__pid"]
     todo = common.written(df.withColumn("__pid", F.monotonically_increasing_id()), "pack-in")
     schema = T.StructType([*todo.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("certified", T.BooleanType()), T.StructField("__room", T.LongType())])
 
     def packed_once(rows: DataFrame, n: int, round_: int) -> DataFrame:
-        groups = max(1, -(-n // group_rows))
+        groups = min(max(1, -(-n // group_rows)), MOST_GROUPS)
         dealt = rows.withColumn("__group", F.pmod(F.xxhash64("__pid", F.lit(round_)), F.lit(groups)))
         return common.written(dealt.groupBy("__group").applyInArrow(_packer(length_col, capacity, fields, round_), schema), f"packed-{round_}")
 
     def bins(rows: DataFrame) -> int:
         return rows.agg(F.count_distinct("sequence_id")).first()[0]
 
-    done: DataFrame | None = None
-    now = packed_once(todo, todo.count(), 0)
-    for round_ in itertools.count(1) if rounds is None else range(1, rounds + 1):
-        given = now.where(F.col("__room") > 0)
-        total = given.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sequence_id").alias("bins"), F.sum(length_col).alias("tokens"), F.bool_and("certified").alias("certified"), F.count_distinct(F.shiftright("sequence_id", 20)).alias("groups")).first()
-        if not total.n or total.bins <= -(-(total.tokens or 0) // capacity) or (total.groups == 1 and total.certified):
-            break
-        again = packed_once(given.select(*fields), total.n, round_)
-        if bins(again) >= total.bins:
-            break
-        full = now.where(F.col("__room") == 0)
-        done = full if done is None else done.unionByName(full)
-        now = again
-    out = now if done is None else done.unionByName(now)
-    return out.drop("__pid", "__room")
+    def bound(rows: DataFrame) -> int:
+        # One row for each length: bounded by the capacity.
+        count = np.zeros(capacity + 1, np.int64)
+        for r in rows.groupBy(length_col).count().toLocalIterator():
+            count[r[0]] = r[1]
+        return histogram_bound(count, capacity)
+
+    tables = [packed_once(todo, todo.count(), 0)]
+    common.drop_scratch(todo)
+    round_, last = 0, MOST_ROUNDS - 1 if rounds is None else min(rounds, MOST_ROUNDS - 1)
+    for among in (~F.col("certified"), F.lit(True)):  # gaps first, then open bins of all groups
+        moved = (F.col("__room") > 0) & among
+        kept, fresh = [], tables  # only the fresh tables hold bins to move
+        while round_ < last:
+            given = reduce(DataFrame.unionByName, fresh).where(moved)
+            total = given.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sequence_id").alias("bins")).first()
+            if not total.n or total.bins <= bound(given):
+                break
+            round_ += 1
+            again = packed_once(given.select(*fields), total.n, round_)
+            if bins(again) >= total.bins:
+                common.drop_scratch(again)
+                break
+            # A sequence is given up whole, as its pieces have the same room and group.
+            kept += [t.where(~moved) for t in fresh]
+            fresh = [again]
+        tables = kept + fresh
+    return reduce(DataFrame.unionByName, tables).drop("__pid", "__room")
 
 
 def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = tokens.DEFAULT_VOCABULARY, with_ids: bool = True) -> DataFrame:

@@ -129,3 +129,54 @@ def test_exchange_goes_on_while_it_saves_bins(spark):
     assert sorted(r.id for r in rows) == list(range(3000))
     three = packing.pack(df, "length", 100, group_rows=8, rounds=3).select("sequence_id").distinct().count()
     assert placed(rows, 100) < three
+
+
+def test_closed_groups_stay_and_gaps_exchange(spark):
+    # The first group of each table is the one of round 0; its certificate is exact for these lengths.
+    df = spark.range(2000).select(F.col("id"), (F.pmod(F.xxhash64("id"), F.lit(60)) + 20).cast("long").alias("length"))
+    alone = {r.id: (r.sequence_id, r.offset, r.certified) for r in packing.pack(df, "length", 100, group_rows=40, rounds=0).collect()}
+    fill = {}
+    for r in packing.pack(df, "length", 100, group_rows=40, rounds=0).collect():
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    once = {r.id: (r.sequence_id, r.offset, r.certified) for r in packing.pack(df, "length", 100, group_rows=40, rounds=1).collect()}
+    certified = {i for i, (_, _, c) in alone.items() if c}
+    full = {i for i, (s, _, _) in alone.items() if fill[s] == 100}
+    assert certified - full and set(alone) - certified - full
+    moved = {i for i in alone if once[i][:2] != alone[i][:2]}
+    assert moved == set(alone) - certified - full
+
+
+def test_bound_over_open_bins_of_certified_groups(spark):
+    # Each group is certified, and only together they need fewer bins.
+    df = spark.range(64).select(F.col("id"), F.lit(25).cast("long").alias("length"))
+    alone = packing.pack(df, "length", 100, group_rows=16, rounds=0).collect()
+    assert all(r.certified for r in alone) and placed(alone, 100) > 16
+    rows = packing.pack(df, "length", 100, group_rows=16).collect()
+    assert placed(rows, 100) == 16
+    exact = spark.range(64).select(F.col("id"), F.lit(51).cast("long").alias("length"))
+    rows = packing.pack(exact, "length", 100, group_rows=8).collect()
+    assert placed(rows, 100) == 64 and all(r.sequence_id < packing.MOST_GROUPS << packing.GROUP_BITS for r in rows)
+
+
+def test_sequence_numbers_stay_apart():
+    most = (1 << packing.GROUP_BITS) - 1
+    first = packing.sequence_ids(0, (1 << 20) + 5, np.array([0, most]))
+    assert first.max() < packing.sequence_ids(0, (1 << 20) + 6, np.array([0]))[0]
+    assert packing.sequence_ids(0, packing.MOST_GROUPS - 1, np.array([most]))[0] < packing.sequence_ids(1, 0, np.array([0]))[0]
+    assert 0 < packing.sequence_ids(packing.MOST_ROUNDS - 1, packing.MOST_GROUPS - 1, np.array([most]))[0] == 2**63 - 1
+
+
+def test_length_above_capacity_is_an_error(spark):
+    with pytest.raises(Exception, match="above the capacity of 10"):
+        packing.pack(spark.createDataFrame([(1, 11)], "id int, length long"), "length", 10).collect()
+
+
+def test_query_pieces_equal_the_library(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    encode = tokens.encoder().encode_one
+    want = []
+    for i, t in docs.items():
+        ids = [*encode(t or ""), 1]
+        want += [(i, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(np.array(ids[k : k + 4096], "<u4").tobytes())) for k in range(0, len(ids), 4096)]
+    got = [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packing.query(spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted(want)
