@@ -5,9 +5,13 @@ Running sums of the turns' tokens give each window's span of new turns; a window
 turn and as much history as ``history`` tokens allow, and only new assistant turns are under the loss
 mask, so every assistant turn is a target once.
 
-Conversations are dealt by id and sorted by turn within a partition. The formatter then reads rows as
-a stream and holds the system turn, the repeated history and one window at most, so a conversation of
-any length takes bounded memory.
+Tokens are those of the turn as it is written, with marks, role and escapes. A turn begins with a mark
+and ends with a line break, which words never cross, so a window's tokens are the sum of its turns'.
+
+Conversations are dealt by id and sorted by turn within a partition: each cut depends on the one
+before, so one conversation is one task's work. The formatter reads rows as a stream and holds the
+system turn, the repeated history and one window at most, so a conversation of any length takes
+bounded memory.
 
 Template::
 
@@ -32,8 +36,6 @@ from tallystone.llm import common, tokens
 
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET, HISTORY = 1024, 256
-#: Tokens that the template adds to a turn.
-TURN_TOKENS = 5
 
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
@@ -74,8 +76,10 @@ def parsed(formatted: str) -> list[tuple[str, str, int, int]]:
 
 def windows(turns: Iterator[tuple[str, str, int]], budget: int = BUDGET, history: int = HISTORY) -> Iterator[tuple[list[tuple[str, str]], int]]:
     """From (role, text, tokens) of one conversation: (turns of a window, how many of them are
-    repeated). The first turn is retained as system turn if its role is ``system``. A new turn that
-    is alone above the budget is a window of its own, whole, without history."""
+    repeated). The first turn is retained as system turn if its role is ``system``, in every window
+    whose first new turn leaves room for it; so a system turn near or above the budget is in the
+    first window alone. A new turn that is alone above the budget is a window of its own, whole, with
+    nothing repeated: no other window is above the budget."""
     system: list[tuple[str, str, int]] = []
     past: list[tuple[str, str, int]] = []  # the last turns within the history's tokens
     held: list[tuple[str, str, int]] = []  # repeated and new turns of the window at hand
@@ -86,14 +90,16 @@ def windows(turns: Iterator[tuple[str, str, int]], budget: int = BUDGET, history
             yield [t[:2] for t in held], repeated
             held = []
         if not held:
-            room = budget - turn[2] - sum(t[2] for t in system)
+            room = budget - turn[2]
+            held = [t for t in system if t[2] <= room]
+            room -= sum(t[2] for t in held)
             kept: list[tuple[str, str, int]] = []
             for t in reversed(past):
                 room -= t[2]
                 if room < 0:
                     break
                 kept.append(t)
-            held = system + kept[::-1]
+            held += kept[::-1]
             repeated, used = len(held), sum(t[2] for t in held)
         held.append(turn)
         used += turn[2]
@@ -112,7 +118,7 @@ def windows(turns: Iterator[tuple[str, str, int]], budget: int = BUDGET, history
 def token_counts(vocabulary: str = tokens.DEFAULT_VOCABULARY) -> Callable[[pa.Array], list[int]]:
     def count(texts: pa.Array) -> list[int]:
         offsets = tokens.encoder(vocabulary).encode(texts)[1]
-        return (offsets[1:] - offsets[:-1] + TURN_TOKENS).tolist()
+        return (offsets[1:] - offsets[:-1]).tolist()
 
     return count
 
@@ -126,7 +132,8 @@ def formatted(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, targe
     text, n_turns int, n_repeated int (turns at the beginning that an earlier window has) and loss:
     the bounds, in code points of text, of new turns whose role is in ``targets``.
 
-    Null texts and roles are empty. Turns go by turn, then role, then text, nulls first, so rows that
+    ``counter`` makes the function that gives the tokens of written turns. Null texts and roles are
+    empty. Turns go by turn, then role, then text, nulls first, so rows that
     repeat a turn stay turns of their own, in a fixed order. A null conv_id is a conversation.
     Windows of a conversation are neighbours in one partition. Other columns are not carried.
     """
@@ -138,14 +145,15 @@ def formatted(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, targe
 
         def turns():
             for batch in common.slices(batches, 3, 1 << 20):
-                yield from zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), count(batch.column(3)), strict=True)
+                roles = batch.column(2).to_pylist()
+                parts = list(map(rendered, roles, batch.column(3).to_pylist()))
+                yield from zip(batch.column(0).to_pylist(), roles, parts, count(pa.array(parts, pa.large_string())), strict=True)
 
         out: list[tuple] = []
         size = 0
         for conv, number, (of, repeated) in _by_conversation(turns(), budget, history):
             at, text, loss = 0, [], []
-            for i, (role, said) in enumerate(of):
-                part = rendered(role, said)
+            for i, (role, part) in enumerate(of):
                 if i >= repeated and role in targets:
                     begin = at + part.index("\n") + 1
                     loss.append({"start": begin, "end": at + len(part) - len(END) - 1})
