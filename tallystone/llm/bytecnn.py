@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.llm import common
@@ -26,8 +26,11 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
-#: Bound of the training sample: rows per language, chosen by hash, and windows per row.
+#: Bounds of the training sample: languages (the most frequent), rows per language and in all, chosen
+#: by hash of the id, and windows per row.
+LANGUAGES = 500
 ROWS_PER_LANGUAGE = 1000
+SAMPLE_ROWS = 50_000
 WINDOWS_PER_ROW = 6
 EPOCHS = 4
 UNKNOWN = "und"
@@ -170,19 +173,37 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == HELD_OUT, F.lit(False))
 
 
-def _labelled(df: DataFrame, which, id_col: str, text_col: str, label_col: str, rows_per_language: int) -> DataFrame:
+def _sample(df: DataFrame, which, id_col: str, text_col: str, label_col: str, rows_per_language: int) -> tuple[DataFrame, int] | None:
+    """(rows of ``label``, ``id`` and ``text``, bound of their number), or None without usable rows.
+
+    Ids are taken while their hash is below their language's share, which follows from an estimate of
+    its distinct ids; an id gives one row of each of its languages, the one of the least text. So
+    neither repeated ids nor a language of most rows make the sample larger, no language's rows meet
+    in one task, and nothing is broadcast. The rows of least hash end it at the bound.
+    """
     usable = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & which
-    order = Window.partitionBy(label_col).orderBy(F.xxhash64(id_col), F.col(id_col))
-    # Ids and labels alone; the window keeps a bounded number of rows per task before its shuffle.
-    chosen = df.where(usable).select(id_col, label_col).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= rows_per_language).select(id_col).distinct()
-    return df.where(usable & (F.length(text_col) > 0)).join(F.broadcast(chosen), id_col, "left_semi")
+    ids = df.where(usable).groupBy(F.col(label_col).alias("label")).agg(F.approx_count_distinct(id_col, 0.02).alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()
+    if not ids:
+        return None
+    each = min(rows_per_language, SAMPLE_ROWS // len(ids))
+    scale = 1 << 40
+    shares = F.create_map(*[F.lit(x) for r in ids for x in (r.label, scale if r.n <= each else scale * each // r.n)])
+    place = F.pmod(F.xxhash64(id_col), F.lit(scale))
+    rows = df.where(usable & (F.length(text_col) > 0) & (place < F.coalesce(shares[F.col(label_col)], F.lit(0))))
+    rows = rows.groupBy(F.col(label_col).alias("label"), F.col(id_col).alias("id")).agg(F.min(text_col).alias("text"))
+    most = 2 * each * len(ids)
+    return rows.orderBy(F.xxhash64("id"), "id", "label").limit(most), most
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, windows_per_row: int = WINDOWS_PER_ROW, **options) -> Network | None:
-    """Train on labelled rows that aren't held out: up to ``rows_per_language`` of each language by
-    hash of the id, and of each up to ``windows_per_row`` windows from anywhere in its text. None if
-    there is no such row. Null, empty and held-out rows are never learned from."""
-    rows = _labelled(df, ~held_out(id_col), id_col, text_col, label_col, rows_per_language).select(label_col, F.col(text_col).cast("binary").alias("text"))
+    """Train on labelled rows that aren't held out: about ``rows_per_language`` ids of each language
+    by hash (at most ``SAMPLE_ROWS`` in all, which bounds with twice that what the driver gets), and
+    of each up to ``windows_per_row`` windows from anywhere in its text. Repeated ids of a language
+    count once. None if there is no such row. Null, empty and held-out rows are never learned from."""
+    sample = _sample(df, ~held_out(id_col), id_col, text_col, label_col, rows_per_language)
+    if sample is None:
+        return None
+    rows = sample[0].select("label", F.col("text").cast("binary"))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,15 +231,16 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
 
 
 def least_likelihoods(df: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> dict[str, float]:
-    """Per predicted language, the likelihood below which a text is in no learned language, from up
-    to ``rows_per_language`` held-out rows of each label; 99 in 100 of these reach it at least. A
-    language that no held-out row has gets the least level of the others, and none if there are no
-    held-out rows."""
-    if network is None:
+    """Per predicted language, the likelihood below which a text is in no learned language, from
+    about ``rows_per_language`` held-out ids of each label, bounded as in ``fit``; 99 in 100 of these
+    reach it at least. A language that no held-out row has gets the least level of the others, and
+    none if there are no held-out rows."""
+    sample = network and _sample(df, held_out(id_col), id_col, text_col, label_col, rows_per_language)
+    if not sample:
         return {}
-    rows = _labelled(df, held_out(id_col), id_col, text_col, label_col, rows_per_language).select(id_col, text_col)
+    rows = sample[0]
     found: dict[str, list[float]] = {}
-    for r in predict(rows, network, id_col, text_col, likelihood=True).where(F.col("lang_pred") != UNKNOWN).select("lang_pred", "likelihood").collect():
+    for r in predict(rows, network, "id", "text", likelihood=True).where(F.col("lang_pred") != UNKNOWN).select("lang_pred", "likelihood").collect():
         found.setdefault(r.lang_pred, []).append(r.likelihood)
     levels = {}
     for language, values in found.items():

@@ -86,3 +86,40 @@ def test_learning_ignores_held_out_labels(spark):
     changed = docs.withColumn("lang", F.when(bytecnn.held_out(), "zz").otherwise(F.col("lang")))
     a, b = (bytecnn.fit(d, epochs=1) for d in (docs, changed))
     assert a.languages == b.languages and (a.dense == b.dense).all()
+
+
+def test_sample_is_bounded_by_rows(spark):
+    few = spark.range(20_000).select((F.col("id") % 4).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    rows, most = bytecnn._sample(few, F.lit(True), "doc_id", "text", "lang", 10)
+    assert most == 20 and sorted((r.id, r.text) for r in rows.collect()) == [(i, min(f"text {k}" for k in range(i, 20_000, 4))) for i in range(4)]
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") % 3 == 0, "fr").otherwise("en").alias("lang"))
+    rows, most = bytecnn._sample(many, F.lit(True), "doc_id", "text", "lang", 300)
+    found = [r.label for r in rows.collect()]
+    assert len(found) <= most == 1200 and all(220 <= found.count(x) <= 380 for x in ("en", "fr"))
+    assert bytecnn._sample(many.where("lang is null"), F.lit(True), "doc_id", "text", "lang", 10) is None
+
+
+def test_gradient_of_a_step(monkeypatch):
+    # The first Adam step moves each weight by the rate against its gradient's sign; compare with the
+    # loss measured on either side.
+    rng = np.random.default_rng(5)
+    windows, labels = rng.integers(97, 123, (8, bytecnn.WINDOW), dtype=np.uint8), np.arange(8) % 2
+    start = bytecnn.train(windows, labels, ["a", "b"], epochs=1, rate=0.0, batch=8)
+    after = bytecnn.train(windows, labels, ["a", "b"], epochs=1, rate=1e-3, batch=8)
+
+    def loss(network):
+        return -network.log_probabilities(windows)[np.arange(8), labels].astype(np.float64).mean()
+
+    for name in ("dense", "bias"):
+        weights, moved = getattr(start, name), getattr(after, name) - getattr(start, name)
+        for at in list(np.ndindex(weights.shape))[:20]:
+            kept = weights[at]
+            ends = []
+            for step in (1e-2, -1e-2):
+                weights[at] = kept + step
+                ends.append(loss(start))
+            weights[at] = kept
+            slope = (ends[0] - ends[1]) / 2e-2
+            if abs(slope) > 1e-3:
+                assert np.sign(moved[at]) == -np.sign(slope)
+    assert loss(after) < loss(start)
