@@ -7,9 +7,10 @@ skips most shards.
 
 DataFrame functions only. The exact position of a row comes without a global sort: a histogram of
 the cells (at most 2**(bits x dimensions) rows, whatever the input) gives each cell's first
-position; rows of a cell are spread over buckets of about ``bucket_rows``, whose counts give the
-bucket's first position; ``row_number`` does the rest within a bucket. Only ids and sizes are
-shuffled, never texts, and no cell is too large, as it has buckets in proportion to its rows.
+position; rows of a cell are spread by the hash of all their columns over buckets of about
+``bucket_rows``, whose counts give the bucket's first position; ``row_number`` does the rest within a
+bucket. The query shuffles ids and sizes, never texts, and no cell is too large, as it has buckets in
+proportion to its rows; repeated or missing ids don't matter, unless rows are equal in all columns.
 """
 
 from __future__ import annotations
@@ -120,9 +121,12 @@ def with_position(df: DataFrame, key: Sequence[str], dims: Sequence[Dimension] =
     """``df`` with ``curve`` (index of the row's cell) and ``position`` (0 to n - 1 along the
     curve), and n. Within a cell, rows follow a hash of ``key`` and then ``key``.
 
-    Nulls are a cell of their own in each dimension; repeated rows take neighbouring positions.
-    ``curve``, ``position`` and names that begin with ``__`` replace same-named columns.
+    Nulls are a cell of their own in each dimension; repeated rows take neighbouring positions. Other
+    columns named ``curve`` or ``position`` are replaced, but dimensions and keys must not have these
+    names, nor any column one that begins with ``__``.
     """
+    if clash := [c for c in [*key, *(d.column for d in dims)] if c in ("curve", "position", "shard", "slot")]:
+        raise ValueError(f"{clash[0]} is a column that sharding makes")
     if bits * len(dims) > 16:
         raise ValueError("bits x dimensions must be at most 16: the histogram of cells is broadcast")
     df = df.drop("curve", "position")
@@ -136,7 +140,8 @@ def with_position(df: DataFrame, key: Sequence[str], dims: Sequence[Dimension] =
     # Bounded: one row for each of at most 2**16 cells.
     before = F.coalesce(F.sum("__rows").over(Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = cells.withColumn("__first", before).withColumn("__buckets", F.ceil(F.col("__rows") / bucket_rows))
-    bucket = F.pmod(F.xxhash64(*key), F.col("__buckets"))
+    hashed = [f.name for f in df.schema.fields if f.name not in key and "map<" not in f.dataType.simpleString()]
+    bucket = F.pmod(F.xxhash64(*key, *hashed), F.col("__buckets"))
     dealt = keyed.join(F.broadcast(cells.drop("__rows")), "__cell").withColumn("__bucket", bucket)
     counts = dealt.groupBy("__cell", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     inner = F.coalesce(F.sum("__n").over(Window.partitionBy("__cell").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -157,10 +162,11 @@ def shard(df: DataFrame, key: Sequence[str], shards: int = SHARDS, **options) ->
 
 def write_shards(df: DataFrame, path: str, key: Sequence[str], dims: Sequence[Dimension] = DIMENSIONS, shards: int = SHARDS, **options) -> DataFrame:
     """Write one folder ``shard=k`` per shard, rows in slot order, and return the manifest: shard,
-    n and for each dimension min_<column> and max_<column>."""
+    n and for each dimension min_<column> and max_<column>. An empty table gives an empty folder and
+    manifest."""
     placed = shard(df, key, shards, dims=dims, **options)
     placed.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return df.sparkSession.read.parquet(path).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), *[f(d.column).alias(f"{name}_{d.column}") for d in dims for name, f in (("min", F.min), ("max", F.max))])
+    return df.sparkSession.read.schema(placed.schema).parquet(path).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), *[f(d.column).alias(f"{name}_{d.column}") for d in dims for name, f in (("min", F.min), ("max", F.max))])
 
 
 def pruned(manifest: DataFrame, **ranges: tuple) -> DataFrame:

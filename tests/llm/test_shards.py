@@ -97,3 +97,38 @@ def test_written_shards_prune(spark, docs, tmp_path):
     assert 0 < len(kept) < 10
     holding = {r.shard for r in spark.read.parquet(str(tmp_path / "out")).where("source = 'src1' and lang = 'en'").select("shard").distinct().collect()}
     assert holding <= kept
+
+
+def test_written_shards_of_an_empty_table(none, tmp_path):
+    assert hilbert.write_shards(none, str(tmp_path / "none"), ["doc_id"]).count() == 0
+
+
+def test_names_that_sharding_makes(docs):
+    with pytest.raises(ValueError, match="position"):
+        hilbert.shard(docs.withColumn("position", F.lit(1)), ["doc_id"], dims=[hilbert.Dimension("position", "linear")])
+
+
+def test_repeated_ids_are_dealt_over_buckets(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.lit(7).cast("long").alias("n_chars"), F.col("id").alias("size"))
+    rows = hilbert.shard(df, ["doc_id"], 7, bucket_rows=100).collect()
+    check(rows, 7)
+    sizes = [r.size for r in sorted(rows, key=lambda r: r.position)]
+    assert sorted(sizes) == list(range(4000)) and sizes[:100] != sorted(sizes[:100])
+
+
+def test_query_equals_sql(spark):
+    import duckdb
+    import zlib
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    want = duckdb.sql(f"SELECT doc_id, strlen(coalesce(text, '')) + 16, count(*) OVER () FROM '{path}'").fetchall()
+    rows = hilbert.query(spark, "/root/testdata/sf0.01").collect()
+    assert sorted((r.doc_id, r.size, len(rows)) for r in rows) == sorted(want)
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(path).collect()}
+    assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id]) for r in rows)
+    counts = [sum(r.shard == k for r in rows) for k in range(40)]
+    assert max(counts) - min(counts) <= 1
+    assert all(sorted(r.slot for r in rows if r.shard == k) == list(range(counts[k])) for k in range(40))
+    # Shards follow each other on the curve.
+    ends = [(min(r.curve for r in rows if r.shard == k), max(r.curve for r in rows if r.shard == k)) for k in range(40)]
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
