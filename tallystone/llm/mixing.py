@@ -64,9 +64,15 @@ def with_copies(df: DataFrame, size_col: str = "size", source_col: str = "source
 
     ``size_col`` must be there (``word_count``). Null sources are one source, null ids draw as one
     id, rows of the same id and source draw alike, sources without words get no copies. Columns of
-    these names are replaced.
+    these names are replaced, so none of them may be ``size_col``, ``source_col`` or ``id_col``, and
+    names that begin with ``__`` must not occur.
     """
-    df = df.drop("source_size", "weight", "target", "copies")
+    made = ("source_size", "weight", "target", "copies")
+    if clash := [c for c in (size_col, source_col, id_col) if c in made]:
+        raise ValueError(f"{clash[0]} is a column that the mix makes")
+    if clash := [c for c in df.columns if c in ("__source", "__rate", "__copy")]:
+        raise ValueError(f"{clash[0]} is a name that the mix uses")
+    df = df.drop(*made)
     found = common.written(targets(df, source_col, size_col, **options), "targets")
     many = found.count()
     found = found.withColumnRenamed(source_col, "__source")

@@ -71,3 +71,14 @@ def test_query_equals_sql(spark):
     want = con.sql(mixing.ORACLE_SQL)
     got = mixing.query(spark, DATA)
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_names_that_the_mix_makes(docs):
+    sized = docs.withColumn("weight", mixing.word_count())
+    with pytest.raises(ValueError, match="weight"):
+        mixing.with_copies(sized, size_col="weight")
+    with pytest.raises(ValueError, match="__rate"):
+        mixing.with_copies(sized.withColumn("size", F.lit(1)).withColumn("__rate", F.lit(1)))
+    named = docs.select(F.col("doc_id").alias("n"), F.col("source").alias("place"), mixing.word_count().alias("w"), F.lit("x").alias("copies"))
+    plain = mixing.with_copies(docs.withColumn("size", mixing.word_count()))
+    assert sorted(map(tuple, mixing.with_copies(named, "w", "place", "n").select("n", "copies").collect())) == sorted(map(tuple, plain.select("doc_id", "copies").collect()))
