@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tallystone.spec import DigestState
 
 CHUNK = 1 << 20
+#: What one task reads, about.
+READER_BYTES, READER_FILES = 1 << 30, 10_000
 #: 100 ns ticks between 1601 and 1970.
 EPOCH_TICKS = 116_444_736_000_000_000
 
@@ -43,7 +45,8 @@ def file_digest(path: str, size: int, last_write_time: int) -> tuple[bytes | Non
 def digests(files: DataFrame, cache: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """From (abs_path, size, last_write_time): the same with digest, content_state, changed and
     from_cache. A cached digest counts if path, size and time are equal; only misses are read.
-    Every executor must see the paths. ``partitions`` is the number of parallel readers."""
+    Every executor must see the paths. ``partitions`` limits the readers; without it there is one for
+    about every ``READER_BYTES`` or ``READER_FILES`` to read."""
     rows = files.select("abs_path", "size", "last_write_time").distinct()
     schema = "abs_path string, size long, last_write_time long, digest binary, content_state string, changed boolean"
     keys = ["abs_path", "size", "last_write_time"]
@@ -57,7 +60,10 @@ def digests(files: DataFrame, cache: DataFrame | None = None, partitions: int |
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*keys, "digest", "content_state", "changed"])
 
     misses = rows if cache is None else rows.join(cache, keys, "left_anti")
-    read = (misses.repartition(partitions) if partitions else misses).mapInArrow(run, schema).withColumn("from_cache", F.lit(False))
+    if not partitions:
+        todo = misses.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+        partitions = max(-(-todo[0] // READER_BYTES), -(-todo[1] // READER_FILES), min(todo[1], rows.sparkSession.sparkContext.defaultParallelism), 1)
+    read = misses.repartition(partitions).mapInArrow(run, schema).withColumn("from_cache", F.lit(False))
     if cache is None:
         return read
     hits = rows.join(cache.select(*keys, "digest"), keys).select(*keys, "digest", F.lit(DigestState.OK.value).alias("content_state"), F.lit(False).alias("changed"), F.lit(True).alias("from_cache"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.functions import paths
@@ -19,19 +19,30 @@ def keyed(entries: DataFrame, case_sensitive: bool = False) -> DataFrame:
 
 
 def last_wins(entries: DataFrame) -> DataFrame:
-    """The row of the highest ``seq`` of each key. Partial maxima leave one row per key and task
-    before the shuffle, however often a key repeats."""
-    return _extreme(entries, F.max_by)
+    """The row of the highest ``seq`` of each key; equal ones go by the other columns. Partial maxima
+    leave one row per key and task before the shuffle, however often a key repeats."""
+    return _extreme(entries, F.max)
 
 
 def first_match(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The row of the lowest ``seq`` of each key, and all other rows of repeated keys."""
-    first = _extreme(entries, F.min_by)
-    again = entries.groupBy("key").agg(F.min("seq").alias("__first"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select("key", "__first")
-    others = entries.join(again, "key").where(F.col("seq") > F.col("__first")).drop("__first")
-    return first, others.select(*entries.columns)
+    """The row of the lowest ``seq`` of each key (equal ones go by the other columns), and all other
+    rows of repeated keys. Rows that are equal in every column are one first row and others."""
+    whole = _ordered(entries)
+    again = entries.groupBy("key").agg(F.min(whole).alias("__first"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select("key", "__first")
+    rows = entries.join(again, "key").withColumn("__row", whole)
+    later = rows.where(F.col("__row") > F.col("__first")).select(*entries.columns)
+    equal = rows.where(F.col("__row") == F.col("__first")).groupBy("key").agg(F.min("__first").alias("__row"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+    equal = _fields(equal.withColumn("__copy", F.explode(F.sequence(F.lit(2).cast("long"), F.col("__n")))), entries)
+    return _extreme(entries, F.min), later.unionByName(equal)
+
+
+def _ordered(entries: DataFrame) -> Column:
+    return F.struct("seq", *[c for c in entries.columns if c not in ("key", "seq")])
+
+
+def _fields(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    return rows.select("key", *[F.col("__row")[c].alias(c) for c in entries.columns if c != "key"]).select(*entries.columns)
 
 
 def _extreme(entries: DataFrame, pick) -> DataFrame:
-    others = [c for c in entries.columns if c != "key"]
-    return entries.groupBy("key").agg(pick(F.struct(*others), F.col("seq")).alias("__row")).select("key", *[F.col("__row")[c].alias(c) for c in others]).select(*entries.columns)
+    return _fields(entries.groupBy("key").agg(pick(_ordered(entries)).alias("__row")), entries)

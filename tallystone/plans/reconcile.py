@@ -41,11 +41,13 @@ def problems(results: DataFrame, separator: str = paths.BACKSLASH) -> DataFrame:
     """What differs: extras, mismatches, missing rows (files first, by key), errors. Missing and extra
     directories are listed only if nothing below them is. ``ord`` gives the order of the groups."""
     status = F.col("status")
-    missing = leafdirs.without_descendants(results.where(status == Status.MISSING.value), separator)
-    extra = leafdirs.without_descendants(results.where(status == Status.EXTRA.value), separator)
-    rest = results.where(~status.isin(Status.IDENTICAL.value, Status.MISSING.value, Status.EXTRA.value))
+    shown = results.where(status != Status.IDENTICAL.value)
+    one_sided = status.isin(Status.MISSING.value, Status.EXTRA.value)
+    covered = shown.where(one_sided).select("status", F.explode(paths.ancestors(F.col("key"), separator)).alias("key")).distinct().withColumn("__covered", F.lit(True))
+    # One pass over the results and one for the ancestors; only directories have something below them.
+    rows = shown.join(covered, ["status", "key"], "left").where(F.col("__covered").isNull() | ~F.col("is_directory")).select(*results.columns)
     rank = F.when(status == Status.EXTRA.value, 0).when(status == Status.SIZE_MISMATCH.value, 1).when(status == Status.MISSING.value, F.when(F.col("is_directory"), 3).otherwise(2)).otherwise(4)
-    return reduce(DataFrame.unionByName, (extra, rest, missing)).withColumn("ord", rank)
+    return rows.withColumn("ord", rank)
 
 
 def filtered(rows: DataFrame, wanted: str) -> DataFrame:
@@ -80,10 +82,6 @@ class Report:
 SEPARATOR = "/"
 
 
-def _readers(spec: ReconcileSpec) -> int:
-    return spec.threads or text.default_threads(any(p and p.startswith(("//", "\\\\")) for p in (spec.source, spec.dest)))
-
-
 def _digest_stage(spec: ReconcileSpec, cache: DataFrame | None, offline: bool, kept: list[DataFrame]):
     """Digests of candidates alone: equal size, both files."""
 
@@ -91,7 +89,7 @@ def _digest_stage(spec: ReconcileSpec, cache: DataFrame | None, offline: bool, k
         todo = F.col("status").isNull()
         sides = {"dest": spec.dest} | ({} if offline else {"source": spec.source})
         files = [rows.where(todo).select(F.concat(F.lit(root.rstrip("/") + SEPARATOR), F.col(f"path_{side}")).alias("abs_path"), F.col(f"size_{side}").alias("size"), F.col(f"last_write_time_{side}").alias("last_write_time")) for side, root in sides.items()]
-        found = fixed(content.digests(reduce(DataFrame.unionByName, files), cache, _readers(spec)), "digests")
+        found = fixed(content.digests(reduce(DataFrame.unionByName, files), cache, spec.threads or None), "digests")
         kept.append(found)
         for side, root in sides.items():
             one = found.select(F.col("abs_path").alias("__path"), F.col("size").alias("__size"), F.col("last_write_time").alias("__time"), F.col("digest").alias("__digest"), F.col("content_state").alias(f"content_state_{side}"), F.col("changed").alias(f"changed_{side}"))
@@ -155,7 +153,7 @@ def run(spark: SparkSession, spec: ReconcileSpec, control: Control | None = None
             if mode == Mode.CONTENT:
                 root = spec.source.rstrip("/") + SEPARATOR
                 path = F.concat(F.lit(root), F.col("relative_path"))
-                found = fixed(content.digests(keyed.where(~F.col("is_directory")).select(path.alias("abs_path"), "size", "last_write_time"), cache, _readers(spec)), "digests")
+                found = fixed(content.digests(keyed.where(~F.col("is_directory")).select(path.alias("abs_path"), "size", "last_write_time"), cache, spec.threads or None), "digests")
                 kept.append(found)
                 # What could not be hashed, or changed, has no digest.
                 good = found.where((F.col("content_state") == DigestState.OK.value) & ~F.col("changed")).select(F.substring("abs_path", len(root) + 1, 2**31 - 1).alias("__path"), "digest")

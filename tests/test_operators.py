@@ -129,3 +129,17 @@ def test_walk_ends_at_cycles_and_keeps_hard_links(spark):
     rows = spark.createDataFrame([(1, 4, "root"), (2, 1, "a"), (3, 2, "b"), (4, 3, "c"), (2, 3, "again"), (9, 1, "link"), (9, 3, "link")], "record long, parent long, name string")
     got = sorted(r.path for r in records.walk(rows, 1).collect())
     assert got == ["a", "a\\b", "a\\b\\c", "a\\b\\link", "link"]
+
+
+def test_rows_of_one_key_and_order_are_all_counted(spark):
+    rows = spark.createDataFrame([("k", 1, False, 0, None), ("K", 2, False, 0, None), ("k", 1, False, 0, None), ("k", 1, False, 0, None), ("x", 5, False, 0, None)], SCHEMA)
+    first, others = keying.first_match(keying.keyed(rows))
+    assert sorted((r.relative_path, r.size) for r in first.collect()) == [("K", 2), ("x", 5)]
+    assert [(r.relative_path, r.size) for r in others.collect()] == [("k", 1)] * 3
+    assert [(r.relative_path, r.size) for r in keying.last_wins(keying.keyed(rows.where("size < 5"))).collect()] == [("k", 1)]
+
+
+def test_problems_join_once(spark):
+    results, _ = reconcile.reconcile(entries(spark, SOURCE), entries(spark, DEST), Mode.SIZE)
+    plan = reconcile.problems(results)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join FullOuter") <= 2
