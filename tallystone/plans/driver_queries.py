@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tallystone.functions import paths, text
 from tallystone.operators import classify, content, keying, leafdirs, records, stats
 from tallystone.plans import reconcile
-from tallystone.sources import adapter, cache, export, tree
-from tallystone.spec import Mode, Status
+from tallystone.sources import adapter, cache, export, snapshot, tree
+from tallystone.spec import ExportFormat, Mode, Status
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +34,7 @@ def doc_sides(spark: SparkSession, sf_dir: str, digests: bool = True) -> tuple[D
     payload = [body] if digests else None
     source = adapter.table_entries(docs.where(F.col("doc_id") % 11 != 0), ["source", "lang", F.concat(F.lit("D"), number)], size, payload, seq="doc_id")
     changed = F.when(F.col("doc_id") % 5 == 0, F.lit("x")).otherwise(body)
-    dest = adapter.table_entries(docs.where(F.col("doc_id") % 13 != 0), [F.lower("source"), "lang", F.concat(F.lit("d"), number)], size + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0), [changed] if digests else None, seq="doc_id")
+    dest = adapter.table_entries(docs.where((F.col("doc_id") % 13 != 0) | (F.col("doc_id") % 11 == 0)), [F.lower("source"), "lang", F.concat(F.lit("d"), number)], size + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0), [changed] if digests else None, seq="doc_id")
     return source, dest
 
 
@@ -43,7 +43,7 @@ s AS (SELECT doc_id, upper(concat_ws('\', source, lang, 'D' || doc_id)) AS key,
              CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, sha256(coalesce(text, '')) AS digest FROM documents WHERE doc_id % 11 <> 0),
 d AS (SELECT doc_id, upper(concat_ws('\', lower(source), lang, 'd' || doc_id)) AS key, concat_ws('\', lower(source), lang, 'd' || doc_id) AS path,
              CAST(strlen(coalesce(text, '')) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS size,
-             sha256(CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE coalesce(text, '') END) AS digest FROM documents WHERE doc_id % 13 <> 0)
+             sha256(CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE coalesce(text, '') END) AS digest FROM documents WHERE doc_id % 13 <> 0 OR doc_id % 11 = 0)
 """
 
 
@@ -89,8 +89,28 @@ SELECT (SELECT count(*) FROM s) AS source_files, zero AS source_dirs, (SELECT co
 FROM c, z GROUP BY zero"""
 
 
+def _order_counters(spark, sf_dir):
+    """Orders with directories, changes and unreadable files, of which a tenth is on either side alone."""
+    orders = table(spark, sf_dir, "orders")
+    number = F.col("o_orderkey")
+    rows = adapter.table_entries(orders, [number], number % 100, [F.col("o_orderpriority")], seq="o_orderkey", is_directory=number % 6 == 0)
+    rows = rows.withColumn("changed", F.col("seq") % 23 == 0).withColumn("content_state", F.when(F.col("seq") % 31 == 0, "no_access").when(F.col("seq") % 37 == 0, "read_error").otherwise("ok"))
+    side = lambda left: rows.where(F.col("seq") % 10 != left).withColumn("size", F.col("size") + F.when((F.col("seq") % 7 == 0) & F.lit(left == 1), 1).otherwise(0))
+    return reconcile.reconcile(side(0), side(1), Mode.CONTENT)[1]
+
+
+_ORDER_COUNTERS = """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 6 = 0 AS dir, o_orderkey % 100 AS size, o_orderkey % 10 <> 0 AS s, o_orderkey % 10 <> 1 AS d FROM orders),
+c AS (SELECT *, CASE WHEN NOT d THEN 'missing' WHEN NOT s THEN 'extra' WHEN dir THEN 'same' WHEN k % 7 = 0 THEN 'size' WHEN k % 23 = 0 THEN 'changed' WHEN k % 31 = 0 THEN 'access' WHEN k % 37 = 0 THEN 'read' ELSE 'same' END AS status FROM o),
+n AS (SELECT count(*) FILTER (s AND NOT dir) AS source_files, count(*) FILTER (s AND dir) AS source_dirs, count(*) FILTER (d AND NOT dir) AS dest_files, count(*) FILTER (d AND dir) AS dest_dirs,
+  count(*) FILTER (status = 'same' AND NOT dir) AS identical_files, count(*) FILTER (status = 'same' AND dir) AS identical_dirs, count(*) FILTER (status = 'missing' AND NOT dir) AS missing_files, count(*) FILTER (status = 'missing' AND dir) AS missing_dirs,
+  count(*) FILTER (status = 'extra' AND NOT dir) AS extra_files, count(*) FILTER (status = 'extra' AND dir) AS extra_dirs, count(*) FILTER (status = 'size') AS size_mismatch, CAST(0 AS BIGINT) AS content_mismatch,
+  count(*) FILTER (status = 'read') AS read_errors, count(*) FILTER (status = 'access') AS access_denied, count(*) FILTER (status = 'changed') AS changed_during_scan,
+  CAST(sum(size) FILTER (s AND NOT dir) AS BIGINT) AS bytes_source, CAST(sum(size + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END) FILTER (d AND NOT dir) AS BIGINT) AS bytes_dest FROM c)
+"""
+
+
 def errors_total(spark, sf_dir):
-    return stats.errors_total(stats_counters(spark, sf_dir))
+    return stats.errors_total(_order_counters(spark, sf_dir))
 
 
 # --- missing and extra rows of a table -----------------------------------------------------------
@@ -100,7 +120,7 @@ def order_results(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     rows = adapter.table_entries(orders, [F.col("o_orderkey")], seq="o_orderkey")
     number = F.col("relative_path").cast("long")
-    return reconcile.reconcile(rows.where(number % 17 != 0), rows.where(number % 19 != 0), Mode.PRESENCE)[0]
+    return reconcile.reconcile(rows.where(number % 17 != 0), rows.where((number % 19 != 0) | (number % 17 == 0)), Mode.PRESENCE)[0]
 
 
 def _order_rows(status: Status):
@@ -110,39 +130,29 @@ def _order_rows(status: Status):
 # --- repeated keys, case, types ------------------------------------------------------------------
 
 
-def _text_entries(spark, sf_dir, whole=False):
-    part = F.col("text") if whole else F.substring("text", 1, 40)
+def _text_entries(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return adapter.table_entries(docs.where("text is not null"), F.concat(F.when(F.col("doc_id") % 2 == 0, "T").otherwise("t"), F.md5(part.cast("binary"))), F.octet_length("text"), seq="doc_id")
-
-
-def _last_rows(rows):
-    return keying.last_wins(keying.keyed(rows)).select("key", "size", F.col("seq").alias("doc_id"))
-
-
-def _repeats_by_status(rows):
-    results, _ = reconcile.reconcile(rows.where(F.col("seq") % 2 == 0), rows, Mode.PRESENCE)
-    return results.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("size_dest").alias("bytes_dest"))
+    return adapter.table_entries(docs.where("text is not null"), F.concat(F.when(F.col("doc_id") % 2 == 0, "T").otherwise("t"), F.md5(F.col("text").cast("binary"))), F.octet_length("text"), seq="doc_id")
 
 
 def dedupe_last_wins(spark, sf_dir):
-    return _last_rows(_text_entries(spark, sf_dir))
+    return keying.last_wins(keying.keyed(_text_entries(spark, sf_dir))).select("key", "size", F.col("seq").alias("doc_id"))
 
 
 def dest_duplicates_extra(spark, sf_dir):
-    return _repeats_by_status(_text_entries(spark, sf_dir))
-
-
-def dedupe_last_wins_whole(spark, sf_dir):
-    return _last_rows(_text_entries(spark, sf_dir, whole=True))
+    rows = _text_entries(spark, sf_dir)
+    results, _ = reconcile.reconcile(rows.where(F.col("seq") % 2 == 0), rows, Mode.PRESENCE)
+    return results.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("size_dest").alias("bytes_dest"))
 
 
-def dest_duplicates_extra_whole(spark, sf_dir):
-    return _repeats_by_status(_text_entries(spark, sf_dir, whole=True))
+def tied_rows(spark, sf_dir):
+    """Rows of one key and order: one matches, every other is extra."""
+    rows = adapter.table_entries(table(spark, sf_dir, "lineitem"), F.concat(F.lit("p"), F.col("l_partkey")), F.col("l_quantity").cast("long"))
+    results, _ = reconcile.reconcile(rows, rows, Mode.PRESENCE, True)
+    return results.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-_TEXT_KEYS = "t AS (SELECT doc_id, strlen(text) AS size, upper('T' || md5(substr(text, 1, 40))) AS key FROM documents WHERE text IS NOT NULL)"
-_WHOLE_TEXT_KEYS = "t AS (SELECT doc_id, strlen(text) AS size, upper('T' || md5(text)) AS key FROM documents WHERE text IS NOT NULL)"
+_TEXT_KEYS = "t AS (SELECT doc_id, strlen(text) AS size, upper('T' || md5(text)) AS key FROM documents WHERE text IS NOT NULL)"
 
 
 def case_sensitive_vs_fold(spark, sf_dir):
@@ -386,6 +396,13 @@ i AS (SELECT parent, record FROM live WHERE record % 5 <> 0 AND record % 7 <> 0)
 SELECT record, parent, 0 AS origin FROM i UNION ALL SELECT record, parent + 1000, 1 FROM live WHERE record NOT IN (SELECT record FROM i)"""
 
 
+def index_violations(spark, sf_dir):
+    """What an index names that isn't a live record of that sequence: the sign of an incomplete scan."""
+    rows = _records(spark, sf_dir).withColumn("sequence", F.col("record") % 3)
+    index = rows.where("record % 5 <> 0").select("parent", "record", F.when(F.col("record") % 7 == 0, F.lit(9)).otherwise(F.col("sequence")).alias("sequence"))
+    return records.children(index, rows.select("parent", "record", "sequence"), rows.withColumn("in_use", F.col("record") % 11 != 0))[1].select("parent", "record", F.col("sequence").cast("int").alias("sequence"))
+
+
 def picked_names(spark, sf_dir):
     names = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record"), F.col("l_suppkey").alias("parent"), (F.col("l_linenumber") % 4).alias("space"), F.concat(F.lit("n"), F.col("l_partkey")).alias("name")).groupBy("record", "space", "name").agg(F.min("parent").alias("parent"))
     return records.picked_names(names.select("record", "parent", "space", "name")).select("record", F.col("space").cast("int").alias("space"), "name")
@@ -394,26 +411,87 @@ def picked_names(spark, sf_dir):
 # --- real files ----------------------------------------------------------------------------------
 
 
-def _small_tree(spark: SparkSession) -> str:
-    """A tree in the shared folder, which all executors see."""
-    root = f"{re.sub('^file:/+', '/', reconcile.shared_folder(spark))}/tallystone/tree-{uuid.uuid4().hex}"
-    for name, data in {".hidden": b"h", "a/b/c.txt": b"abc", "a/.x/_y": b"", "z.bin": b"\0" * 10}.items():
-        os.makedirs(os.path.dirname(os.path.join(root, name)), exist_ok=True)
-        with open(os.path.join(root, name), "wb") as f:
-            f.write(data)
-    os.makedirs(os.path.join(root, "empty"))
+def _shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which all executors see as one of their own."""
+    folder = reconcile.shared_folder(spark)
+    if "://" in folder and not folder.startswith("file:"):
+        raise ValueError(f"files can't be made in {folder}: trees need a mounted folder")
+    return f"{re.sub('^file:/+', '/', folder)}/tallystone/{name}-{uuid.uuid4().hex}"
+
+
+def _page_tree(spark: SparkSession, sf_dir: str) -> str:
+    """A file for each page, in directories by number; executors write them."""
+    root = _shared_path(spark, "tree")
+    number = F.col("page_id").cast("string")
+    files = table(spark, sf_dir, "pages").where("page_id is not null").select(F.concat(F.lit("d"), (F.col("page_id") % 7).cast("string"), F.lit("/.x/"), number, F.lit(".html")).alias("path"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("data"))
+
+    def run(batches):
+        for batch in batches:
+            for path, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                os.makedirs(os.path.dirname(os.path.join(root, path)), exist_ok=True)
+                with open(os.path.join(root, path), "wb") as f:
+                    f.write(data)
+            yield batch.select(["path"])
+
+    files.mapInArrow(run, "path string").agg(F.count(F.lit(1))).first()
+    os.makedirs(os.path.join(root, "empty"), exist_ok=True)
     return root
 
 
+_PAGE_FILES = "f AS (SELECT page_id, 'd' || page_id % 7 || '/.x/' || page_id || '.html' AS path, coalesce(html, '') AS data FROM pages WHERE page_id IS NOT NULL)"
+
+
 def tree_scan(spark, sf_dir):
-    return tree.scan(spark, _small_tree(spark))[0].select("relative_path", "size", "is_directory")
+    return tree.scan(spark, _page_tree(spark, sf_dir))[0].select("relative_path", "size", "is_directory")
 
 
-def tree_digests(spark, sf_dir):
-    root = _small_tree(spark)
+def _page_files(spark, sf_dir) -> DataFrame:
+    root = _page_tree(spark, sf_dir)
     entries, _ = tree.scan(spark, root)
-    files = entries.where("not is_directory").select(F.concat(F.lit(root + "/"), "relative_path").alias("abs_path"), "size", "last_write_time")
-    return content.digests(files).select(paths.base_name(F.col("abs_path")).alias("name"), text.hex_digest(F.col("digest")).alias("digest"), "content_state", "changed")
+    return entries.where("not is_directory").select(F.concat(F.lit(root + "/"), "relative_path").alias("abs_path"), "size", "last_write_time")
+
+
+def tree_digests(spark, sf_dir):
+    return content.digests(_page_files(spark, sf_dir)).select(paths.base_name(F.col("abs_path")).alias("name"), text.hex_digest(F.col("digest")).alias("digest"), "content_state", "changed")
+
+
+def digests_from_cache(spark, sf_dir):
+    """Digests of every second file come from a saved cache, where they are marked, so that reading
+    the file would give another one."""
+    files = _page_files(spark, sf_dir)
+    known = files.where(F.regexp_extract("abs_path", r"(\d+)\.html$", 1).cast("long") % 2 == 0).withColumn("digest", F.unhex(F.sha2(paths.base_name(F.col("abs_path")).cast("binary"), 256)))
+    at = _shared_path(spark, "cache")
+    cache.save(known, f"file://{at}")
+    found, _ = cache.read(spark, f"file://{at}")
+    return content.digests(files, found).select(paths.base_name(F.col("abs_path")).alias("name"), text.hex_digest(F.col("digest")).alias("digest"), "from_cache")
+
+
+def snapshot_round_trip(spark, sf_dir):
+    entries = doc_sides(spark, sf_dir)[0]
+    at = f"file://{_shared_path(spark, 'snapshot')}"
+    snapshot.write(entries, at, "D:\\docs", False)
+    saved = snapshot.read(spark, at)
+    return saved.entries.select("relative_path", "size", "is_directory", F.col("seq").alias("doc_id"), text.hex_digest(F.col("digest")).alias("digest"), F.lit(saved.root).alias("root"), F.lit(saved.case_sensitive).alias("case_sensitive"))
+
+
+def binary_snapshot_round_trip(spark, sf_dir):
+    entries = adapter.table_entries(table(spark, sf_dir, "customer"), [F.col("c_mktsegment"), F.col("c_name")], F.col("c_custkey") * 10, [F.col("c_name")], seq="c_custkey")
+    at = _shared_path(spark, "binary-snapshot")
+    os.makedirs(os.path.dirname(at), exist_ok=True)
+    snapshot.write_binary(entries, at, "E:", True)
+    saved = snapshot.read_binary(spark, at)
+    return saved.entries.select("relative_path", "size", text.hex_digest(F.col("digest")).alias("digest"), F.lit(saved.root).alias("root"), F.lit(saved.case_sensitive).alias("case_sensitive"))
+
+
+def _whole_export(kind: ExportFormat):
+    def query(spark, sf_dir):
+        at = _shared_path(spark, "export")
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        export.write(reconcile.problems(reconcile.reconcile(*doc_sides(spark, sf_dir), Mode.CONTENT)[0]), at, kind)
+        whole = spark.read.format("binaryFile").load(f"file://{at}").select("content")
+        return whole.select(F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+    return query
 
 
 def _export_lines(line):
@@ -425,6 +503,17 @@ _TOKENS = " ".join(f"WHEN '{s.value}' THEN '{t}'" for s, t in text.STATUS_TOKENS
 _CSV_PATH = """CASE WHEN regexp_matches(relative_path, '[,"]') THEN '"' || replace(relative_path, '"', '""') || '"' ELSE relative_path END"""
 
 
+_CSV_LINES = _doc_status(Mode.CONTENT) + f"SELECT concat_ws(',', CASE status {_TOKENS} END, {_CSV_PATH}, size_source, size_dest, CASE WHEN status = 'ContentMismatch' THEN hs ELSE '' END, CASE WHEN status = 'ContentMismatch' THEN hd ELSE '' END) AS line FROM c WHERE status <> 'Identical'"
+_JSON_LINES = _doc_status(Mode.CONTENT) + rf"""SELECT '{{"status":"' || CASE status {_TOKENS} END || '","path":"' || replace(relative_path, '\', '\\') || '","size_source":' || size_source || ',"size_destination":' || size_dest || ',"hash_source":"' || CASE WHEN status = 'ContentMismatch' THEN hs ELSE '' END || '","hash_destination":"' || CASE WHEN status = 'ContentMismatch' THEN hd ELSE '' END || '"}}' AS line FROM c WHERE status <> 'Identical'"""
+
+
+def _whole_sql(lines: str, whole: str) -> str:
+    """One file of all lines in the order of groups, then keys."""
+    ordered = lines.replace("AS line FROM c", "AS line, key, CASE status WHEN 'Extra' THEN 0 WHEN 'SizeMismatch' THEN 1 WHEN 'Missing' THEN 2 ELSE 4 END AS ord FROM c")
+    at = ordered.rindex("SELECT concat_ws") if "SELECT concat_ws(',', CASE" in ordered else ordered.rindex("SELECT '{")
+    return f"{ordered[:at]}, l AS ({ordered[at:]}), w AS (SELECT {whole} AS file FROM l) SELECT CAST(strlen(file) AS BIGINT) AS n_bytes, sha256(file) AS sha256 FROM w"
+
+
 def _catalog() -> dict[str, tuple]:
     presence, size, full = (_diff(m) for m in (Mode.PRESENCE, Mode.SIZE, Mode.CONTENT))
     return {
@@ -433,13 +522,13 @@ def _catalog() -> dict[str, tuple]:
         "diff_content": full,
         "problem_rows": (problem_rows, _PROBLEM_ROWS),
         "stats_counters": (stats_counters, _STATS),
-        "errors_total": (errors_total, "SELECT CAST(0 AS BIGINT) AS errors"),
+        "order_counters": (_order_counters, _ORDER_COUNTERS + "SELECT * FROM n"),
+        "errors_total": (errors_total, _ORDER_COUNTERS + "SELECT read_errors + access_denied + changed_during_scan AS errors FROM n"),
+        "tied_rows": (tied_rows, "SELECT 'Identical' AS status, count(DISTINCT l_partkey) AS n FROM lineitem UNION ALL SELECT 'Extra', count(*) - count(DISTINCT l_partkey) FROM lineitem"),
         "missing_rows": (_order_rows(Status.MISSING), "SELECT o_orderkey FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 19 = 0"),
-        "extra_rows": (_order_rows(Status.EXTRA), "SELECT o_orderkey FROM orders WHERE o_orderkey % 17 = 0 AND o_orderkey % 19 <> 0"),
+        "extra_rows": (_order_rows(Status.EXTRA), "SELECT o_orderkey FROM orders WHERE o_orderkey % 17 = 0"),
         "dedupe_last_wins": (dedupe_last_wins, f"WITH {_TEXT_KEYS} SELECT key, CAST(arg_max(size, doc_id) AS BIGINT) AS size, max(doc_id) AS doc_id FROM t GROUP BY key"),
         "dest_duplicates_extra": (dest_duplicates_extra, f"WITH {_TEXT_KEYS}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS rn FROM t), r AS (SELECT CASE WHEN rn = 1 AND key IN (SELECT key FROM t WHERE doc_id % 2 = 0) THEN 'Identical' ELSE 'Extra' END AS status, size FROM n) SELECT status, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes_dest FROM r GROUP BY status"),
-        "dedupe_last_wins_whole": (dedupe_last_wins_whole, f"WITH {_WHOLE_TEXT_KEYS} SELECT key, CAST(arg_max(size, doc_id) AS BIGINT) AS size, max(doc_id) AS doc_id FROM t GROUP BY key"),
-        "dest_duplicates_extra_whole": (dest_duplicates_extra_whole, f"WITH {_WHOLE_TEXT_KEYS}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS rn FROM t), r AS (SELECT CASE WHEN rn = 1 AND key IN (SELECT key FROM t WHERE doc_id % 2 = 0) THEN 'Identical' ELSE 'Extra' END AS status, size FROM n) SELECT status, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes_dest FROM r GROUP BY status"),
         "case_sensitive_vs_fold": (case_sensitive_vs_fold, "SELECT 'Identical' AS status, count(*) AS n, false AS case_sensitive FROM customer UNION ALL SELECT 'Identical', count(*), true FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT s, count(*), true FROM customer, (VALUES ('Missing'), ('Extra')) v(s) WHERE c_custkey % 3 = 0 GROUP BY s"),
         "type_conflict": (type_conflict, "SELECT CASE WHEN (doc_id % 6 = 0) <> (doc_id % 4 = 0) THEN 'SizeMismatch' ELSE 'Identical' END AS status, doc_id % 6 = 0 AND doc_id % 4 = 0 AS is_directory, count(*) AS n FROM documents GROUP BY ALL"),
         "leaf_missing_dirs": (_leaf_dirs(Status.MISSING), _LEAF_DIRS),
@@ -473,10 +562,16 @@ SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(c
         "extent_containment": (extent_containment, f"WITH {_RUNS}, q AS (SELECT o_orderkey AS file, o_custkey % 60 AS cluster FROM orders) SELECT q.file, q.cluster, e.i, e.lcn + q.cluster - e.vcn AS absolute FROM q JOIN e ON q.file = e.file AND q.cluster >= e.vcn AND q.cluster < e.vcn + e.length"),
         "children_union": (children_union, _CHILDREN),
         "picked_names": (picked_names, "WITH n AS (SELECT DISTINCT l_orderkey AS record, l_linenumber % 4 AS space, 'n' || l_partkey AS name FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY CASE space WHEN 1 THEN 0 WHEN 3 THEN 1 WHEN 0 THEN 2 ELSE 3 END, name) AS k FROM n) SELECT record, CAST(space AS INTEGER) AS space, name FROM r WHERE k = 1"),
-        "export_csv_lines": (_export_lines(export.csv_line), _doc_status(Mode.CONTENT) + f"SELECT concat_ws(',', CASE status {_TOKENS} END, {_CSV_PATH}, size_source, size_dest, CASE WHEN status = 'ContentMismatch' THEN hs ELSE '' END, CASE WHEN status = 'ContentMismatch' THEN hd ELSE '' END) AS line FROM c WHERE status <> 'Identical'"),
-        "export_json_lines": (_export_lines(export.json_line), _doc_status(Mode.CONTENT) + rf"""SELECT '{{"status":"' || CASE status {_TOKENS} END || '","path":"' || replace(relative_path, '\', '\\') || '","size_source":' || size_source || ',"size_destination":' || size_dest || ',"hash_source":"' || CASE WHEN status = 'ContentMismatch' THEN hs ELSE '' END || '","hash_destination":"' || CASE WHEN status = 'ContentMismatch' THEN hd ELSE '' END || '"}}' AS line FROM c WHERE status <> 'Identical'"""),
-        "tree_scan": (tree_scan, None),
-        "tree_digests": (tree_digests, None),
+        "export_csv_lines": (_export_lines(export.csv_line), _CSV_LINES),
+        "export_json_lines": (_export_lines(export.json_line), _JSON_LINES),
+        "export_csv_file": (_whole_export(ExportFormat.CSV), _whole_sql(_CSV_LINES, f"chr(65279) || '{export.HEADER.strip()}' || chr(10) || coalesce(string_agg(line || chr(10), '' ORDER BY ord, key), '')")),
+        "export_json_file": (_whole_export(ExportFormat.JSON), _whole_sql(_JSON_LINES, "'[' || chr(10) || coalesce(string_agg(line, ',' || chr(10) ORDER BY ord, key), '') || chr(10) || ']' || chr(10)")),
+        "snapshot_round_trip": (snapshot_round_trip, f"WITH {_DOC_SIDES} SELECT path AS relative_path, size, false AS is_directory, doc_id, digest, 'D:\\docs' AS root, false AS case_sensitive FROM s"),
+        "binary_snapshot_round_trip": (binary_snapshot_round_trip, r"SELECT c_mktsegment || '\' || c_name AS relative_path, c_custkey * 10 AS size, sha256(c_name) AS digest, 'E:' AS root, true AS case_sensitive FROM customer"),
+        "tree_scan": (tree_scan, f"WITH {_PAGE_FILES}, d AS (SELECT DISTINCT unnest(['d' || page_id % 7, 'd' || page_id % 7 || '/.x']) AS path FROM f) SELECT path AS relative_path, CAST(strlen(data) AS BIGINT) AS size, false AS is_directory FROM f UNION ALL SELECT path, 0, true FROM d UNION ALL SELECT 'empty', 0, true"),
+        "tree_digests": (tree_digests, f"WITH {_PAGE_FILES} SELECT page_id || '.html' AS name, sha256(data) AS digest, 'ok' AS content_state, false AS changed FROM f"),
+        "digests_from_cache": (digests_from_cache, f"WITH {_PAGE_FILES} SELECT page_id || '.html' AS name, CASE WHEN page_id % 2 = 0 THEN sha256(page_id || '.html') ELSE sha256(data) END AS digest, page_id % 2 = 0 AS from_cache FROM f"),
+        "index_violations": (index_violations, _CHILDREN.split("SELECT record, parent, 0")[0].rstrip() + " SELECT record, CASE WHEN record % 7 = 0 THEN 9 ELSE sequence END AS sequence, CAST(parent AS BIGINT) AS parent FROM x WHERE record % 5 <> 0 AND (record % 7 = 0 AND sequence <> 9 OR record % 11 = 0)"),
     }
 
 

@@ -42,7 +42,7 @@ def test_texts_that_begin_alike_are_not_repeats(spark, tmp_path):
     head = "x" * 60
     rows = [(1, head + "a"), (2, head + "b"), (3, head + "a"), (4, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = entry.queries()["dedupe_last_wins_whole"](spark, str(tmp_path)).collect()
+    found = entry.queries()["dedupe_last_wins"](spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in found) == [2, 3]
-    counts = {r.status: r.n for r in entry.queries()["dest_duplicates_extra_whole"](spark, str(tmp_path)).collect()}
+    counts = {r.status: r.n for r in entry.queries()["dest_duplicates_extra"](spark, str(tmp_path)).collect()}
     assert counts == {"Identical": 1, "Extra": 2}
