@@ -9,13 +9,14 @@ import os
 import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.functions import paths, text
 from tallystone.operators import classify, content, keying, leafdirs, records, stats
 from tallystone.plans import reconcile
-from tallystone.sources import adapter, cache, export, snapshot, tree
+from tallystone.sources import adapter, cache, export, file_records, snapshot, tree
 from tallystone.spec import ExportFormat, Mode, Status
 
 
@@ -408,6 +409,86 @@ def picked_names(spark, sf_dir):
     return records.picked_names(names.select("record", "parent", "space", "name")).select("record", F.col("space").cast("int").alias("space"), "name")
 
 
+# --- dumps of file records -----------------------------------------------------------------------
+
+
+def decoded_runs(spark, sf_dir):
+    """Runs as bytes, decoded, as extents."""
+    lists = _runs(spark, sf_dir).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("i", "length", "delta"))).alias("runs"))
+
+    def encoded(batches):
+        for batch in batches:
+            packed = [file_records.encoded_runs([(r["length"], r["delta"]) for r in runs]) for runs in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["file", "data"])
+
+    def decoded(batches):
+        for batch in batches:
+            rows = [(file, i, *run) for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, run in enumerate(file_records.run_list(data))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["file", "i", "length", "delta"])
+
+    return records.extents(lists.mapInArrow(encoded, "file long, data binary").mapInArrow(decoded, "file long, i long, length long, delta long"))
+
+
+def _dump(spark, sf_dir) -> DataFrame:
+    """A dump whose root, 5, holds regions, which hold nations; every fourth record isn't in use."""
+    nations = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 200).cast("long").alias("record"), (F.col("n_regionkey") + 100).cast("long").alias("parent"), F.col("n_name").alias("name"))
+    regions = table(spark, sf_dir, "region").select((F.col("r_regionkey") + 100).cast("long").alias("record"), F.lit(5).cast("long").alias("parent"), F.col("r_name").alias("name"))
+    rows = nations.withColumn("dir", F.lit(False)).unionByName(regions.withColumn("dir", F.lit(True)))
+    kids = nations.groupBy(F.col("parent").alias("record")).agg(F.sort_array(F.collect_list(F.struct(F.col("record").alias("r"), F.col("name").alias("n")))).alias("kids"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for number, parent, name, is_dir, kids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                used = is_dir or number % 4 > 0
+                children = [(k["r"], k["r"] % 5 + 1, k["n"]) for k in kids or []] if is_dir else None
+                out.append(file_records.written_record(number % 5 + 1, used + 2 * is_dir, [(parent, 1, 2, name[:6]), (parent, 1, 1, name)], None if is_dir else number * 1000, children, [(2, 40), (1, -7)] if is_dir else None, number, 4096))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["record", "data"])
+
+    return rows.join(kids, "record", "left").select("record", "parent", "name", "dir", "kids").mapInArrow(run, "record long, data binary")
+
+
+_DUMP = "r AS (SELECT n_nationkey + 200 AS record, n_regionkey + 100 AS parent, n_name AS name, false AS dir, (n_nationkey + 200) % 4 > 0 AS used FROM nation UNION ALL SELECT r_regionkey + 100, 5, r_name, true, true FROM region)"
+
+
+def record_dump(spark, sf_dir):
+    found = file_records.parsed(_dump(spark, sf_dir))
+    return found.select("record", "sequence", "in_use", "is_directory", "size", F.array_join(F.transform("names", lambda n: F.concat_ws(":", n["parent"], n["space"], n["name"])), ",").alias("names"), F.array_join(F.transform("index", lambda c: F.concat_ws(":", c["record"], c["sequence"], c["name"])), ",").alias("children"), F.size("index_runs").alias("runs"), "error")
+
+
+def _dump_tree(spark, sf_dir):
+    blocks = spark.createDataFrame([(5, bytearray(file_records.written_block([(999, 1, "gone")])))], "parent long, data binary")
+    return file_records.tree_of(file_records.parsed(_dump(spark, sf_dir)), file_records.block_children(blocks), 5)
+
+
+def dump_tree(spark, sf_dir):
+    return _dump_tree(spark, sf_dir)[0].select("record", "relative_path", "size", "is_directory")
+
+
+def dump_violations(spark, sf_dir):
+    return _dump_tree(spark, sf_dir)[1]
+
+
+def index_blocks(spark, sf_dir):
+    """Index blocks of a customer's orders, every fifth torn and every seventh free."""
+    kids = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 500).alias("parent"), F.expr("o_orderkey div 500").alias("part")).agg(F.sort_array(F.collect_set("o_orderkey")).alias("kids")).select("parent", F.slice("kids", 1, 20).alias("kids"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for parent, kids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                block = bytearray(file_records.written_block([(k, k % 100, f"o{k}") for k in kids], parent))
+                if parent % 7 == 0:
+                    block = bytearray(len(block))
+                elif parent % 5 == 0:
+                    block[-1] ^= 1
+                out.append(bytes(block))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["parent", "data"])
+
+    found = file_records.block_children(kids.mapInArrow(run, "parent long, data binary"))
+    return found.select("parent", F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["record"], c["sequence"], c["name"])), ",").alias("children"), F.col("error").isNotNull().alias("damaged"))
+
+
 # --- real files ----------------------------------------------------------------------------------
 
 
@@ -564,6 +645,11 @@ SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(c
         "picked_names": (picked_names, "WITH n AS (SELECT DISTINCT l_orderkey AS record, l_linenumber % 4 AS space, 'n' || l_partkey AS name FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY CASE space WHEN 1 THEN 0 WHEN 3 THEN 1 WHEN 0 THEN 2 ELSE 3 END, name) AS k FROM n) SELECT record, CAST(space AS INTEGER) AS space, name FROM r WHERE k = 1"),
         "export_csv_lines": (_export_lines(export.csv_line), _CSV_LINES),
         "export_json_lines": (_export_lines(export.json_line), _JSON_LINES),
+        "decoded_runs": (decoded_runs, f"WITH {_RUNS} SELECT file, row_number() OVER (PARTITION BY file ORDER BY i) - 1 AS i, vcn, lcn, length FROM e"),
+        "record_dump": (record_dump, f"WITH {_DUMP}, k AS (SELECT parent AS record, string_agg(record || ':' || (record % 5 + 1) || ':' || name, ',' ORDER BY record) AS children FROM r WHERE NOT dir GROUP BY parent) SELECT CAST(r.record AS BIGINT) AS record, CAST(r.record % 5 + 1 AS INTEGER) AS sequence, used AS in_use, dir AS is_directory, CAST(CASE WHEN dir THEN 0 ELSE r.record * 1000 END AS BIGINT) AS size, parent || ':2:' || left(name, 6) || ',' || parent || ':1:' || name AS names, coalesce(children, '') AS children, CASE WHEN dir THEN 2 ELSE 0 END AS runs, CAST(NULL AS VARCHAR) AS error FROM r LEFT JOIN k ON r.record = k.record"),
+        "dump_tree": (dump_tree, rf"WITH {_DUMP} SELECT CAST(c.record AS BIGINT) AS record, CASE WHEN c.dir THEN c.name ELSE p.name || '\' || c.name END AS relative_path, CAST(CASE WHEN c.dir THEN 0 ELSE c.record * 1000 END AS BIGINT) AS size, c.dir AS is_directory FROM r c LEFT JOIN r p ON c.parent = p.record WHERE c.used"),
+        "dump_violations": (dump_violations, f"WITH {_DUMP} SELECT CAST(parent AS BIGINT) AS parent, CAST(record AS BIGINT) AS record, 'no live record' AS error FROM r WHERE NOT used UNION ALL SELECT 5, 999, 'no live record'"),
+        "index_blocks": (index_blocks, "WITH k AS (SELECT o_custkey % 500 AS parent, o_orderkey // 500 AS part, list_sort(list(DISTINCT o_orderkey))[1:20] AS kids FROM orders GROUP BY 1, 2) SELECT parent, CASE WHEN parent % 7 = 0 OR parent % 5 = 0 THEN '' ELSE array_to_string(list_transform(kids, lambda x: x || ':' || (x % 100) || ':o' || x), ',') END AS children, parent % 7 <> 0 AND parent % 5 = 0 AS damaged FROM k"),
         "export_csv_file": (_whole_export(ExportFormat.CSV), _whole_sql(_CSV_LINES, f"chr(65279) || '{export.HEADER.strip()}' || chr(10) || coalesce(string_agg(line || chr(10), '' ORDER BY ord, key), '')")),
         "export_json_file": (_whole_export(ExportFormat.JSON), _whole_sql(_JSON_LINES, "'[' || chr(10) || coalesce(string_agg(line, ',' || chr(10) ORDER BY ord, key), '') || chr(10) || ']' || chr(10)")),
         "snapshot_round_trip": (snapshot_round_trip, f"WITH {_DOC_SIDES} SELECT path AS relative_path, size, false AS is_directory, doc_id, digest, 'D:\\docs' AS root, false AS case_sensitive FROM s"),
