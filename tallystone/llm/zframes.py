@@ -175,8 +175,8 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
             common.release_memory()
             yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "path": [path], "n_docs": [len(writer.docs)], "n_tokens": [writer.n_tokens], "n_bytes": [n_bytes]})
 
-    manifest = common.written(rows.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long, n_bytes long"), "token-files")
-    # One row per file: a bounded window without partitions.
+    # One row per file: one small table, and a bounded window without partitions.
+    manifest = common.written(rows.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long, n_bytes long").repartition(1), "token-files")
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return manifest.withColumn("first_token", before)
 
