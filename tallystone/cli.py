@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from tallystone.functions import text
 from tallystone.plans import reconcile
-from tallystone.spec import ExportFormat, Mode, OptionError, ReconcileSpec
+from tallystone.spec import Enumeration, ExportFormat, Mode, OptionError, ReconcileSpec
 from tallystone.streaming import control
 
 
@@ -33,18 +33,17 @@ def _number(parse, what: str):
 
 def parse_args(argv: list[str]) -> ReconcileSpec:
     p = _Parser(prog="tallystone", allow_abbrev=False)
-    for name in ("source", "dest", "compare", "snapshot-out", "hash-cache", "export"):
+    for name in ("source", "dest", "compare", "snapshot-out", "hash-cache", "export", "source-records", "dest-records"):
         p.add_argument(f"--{name}")
     p.add_argument("--mode", choices=[m.value for m in Mode], default=Mode.CONTENT.value)
     p.add_argument("--export-format", choices=["csv", "json"])
     p.add_argument("--threads", type=_number(text.parse_thread_count, "--threads"), default=0)
     p.add_argument("--limit", type=_number(text.parse_uint64, "--limit"), default=100)
-    p.add_argument("--enum", choices=["auto", "walk"], default="auto")
+    p.add_argument("--enum", choices=[e.value for e in Enumeration], default=Enumeration.AUTO.value)
     for name in ("case-sensitive", "list-problems", "progress", "strict-exit"):
         p.add_argument(f"--{name}", action="store_true")
     a = vars(p.parse_args(argv))
-    a.pop("enum")
-    a["mode"], a["export_format"] = Mode(a["mode"]), ExportFormat(a["export_format"] or "auto")
+    a["mode"], a["export_format"], a["enum"] = Mode(a["mode"]), ExportFormat(a["export_format"] or "auto"), Enumeration(a["enum"])
     return ReconcileSpec(**a).checked()
 
 
@@ -55,6 +54,7 @@ def summary(report: reconcile.Report) -> str:
         total = sum(report.seconds.values())
         lines.append(f"time: {text.format_time(total)}, {text.format_rate(report.stats['bytes_source'], total)}")
     lines += [f"{stage}: {seconds:.1f} s" for stage, seconds in report.seconds.items()]
+    lines += [f"{side} listed by: {way.value}" for side, way in report.listed.items()]
     if report.degraded:
         lines.append("the snapshot has no digests: compared by size")
     if report.spec.hash_cache:

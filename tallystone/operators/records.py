@@ -45,6 +45,16 @@ def picked_names(names: DataFrame) -> DataFrame:
     return names.groupBy("record").agg(F.min_by(F.struct("parent", "space", "name"), F.struct(rank, F.col("name"))).alias("n")).select("record", "n.*")
 
 
+def diagnostic_names(names: DataFrame) -> DataFrame:
+    """One name per record from (record, i, parent, space, name), the way diagnostic tools choose: the
+    last in the order of i of namespace 1 or 3, else the first of any. Equal i go by the other columns."""
+    shown = F.col("space").isin(1, 3)
+    row = F.struct("parent", "space", "name")
+    place = F.struct("i", "parent", "space", "name")
+    last, first = F.max_by(row, F.when(shown, place)), F.min_by(row, place)
+    return names.groupBy("record").agg(F.coalesce(last, first).alias("n")).select("record", "n.*")
+
+
 def children(index: DataFrame, parents: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(children, violations). ``index`` (parent, record, sequence) lists what directories name,
     ``parents`` (parent, record, sequence) what records say of their parent, ``records`` (record,

@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -248,6 +249,25 @@ def problem_filter_errors(spark, sf_dir):
     return reconcile.filtered(reconcile.problems(results), "errors").select("status", "relative_path", "error_message", "is_directory")
 
 
+def view_counts(spark, sf_dir):
+    """Rows of each view of the problems."""
+    rows = reconcile.fixed(reconcile.problems(reconcile.reconcile(*doc_sides(spark, sf_dir), Mode.CONTENT)[0]), "problems")
+    counts = [reconcile.filtered(rows, view).agg(F.count(F.lit(1)).alias("n")).withColumn("view", F.lit(view)) for view in ("all", "missing", "extra", "size", "content", "errors", "identical")]
+    return reduce(DataFrame.unionByName, counts)
+
+
+_VIEW_COUNTS = _doc_status(Mode.CONTENT) + ", v AS (SELECT * FROM (VALUES ('all', NULL), ('missing', 'Missing'), ('extra', 'Extra'), ('size', 'SizeMismatch'), ('content', 'ContentMismatch'), ('errors', 'ReadError'), ('identical', 'none')) AS t(view, status)) SELECT view, (SELECT count(*) FROM c WHERE c.status <> 'Identical' AND (v.status IS NULL OR c.status = v.status)) AS n FROM v"
+
+
+def listed_examples(spark, sf_dir):
+    """The first 15 rows of each kind, as a report lists them."""
+    found = reconcile.examples(reconcile.reconcile(*doc_sides(spark, sf_dir), Mode.CONTENT)[0], 15)
+    return found.select("kind", "key", "relative_path", "status")
+
+
+_EXAMPLES = _doc_status(Mode.CONTENT) + ", k AS (SELECT *, CASE status WHEN 'Missing' THEN 'only_source' WHEN 'Extra' THEN 'only_dest' ELSE 'differs' END AS kind FROM c WHERE status <> 'Identical') SELECT kind, key, relative_path, status FROM k QUALIFY row_number() OVER (PARTITION BY kind ORDER BY key, relative_path) <= 15"
+
+
 def limit_problems(spark, sf_dir):
     results, _ = reconcile.reconcile(*doc_sides(spark, sf_dir), Mode.CONTENT)
     return reconcile.problems(results).orderBy("ord", "key").limit(25).select("status", "relative_path")
@@ -409,6 +429,17 @@ def picked_names(spark, sf_dir):
     return records.picked_names(names.select("record", "parent", "space", "name")).select("record", F.col("space").cast("int").alias("space"), "name")
 
 
+def diagnostic_names(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record"), F.col("l_linenumber").alias("i"), F.col("l_suppkey").alias("parent"), ((F.col("l_orderkey") + F.col("l_linenumber") * 3) % 4).cast("int").alias("space"), F.concat(F.lit("n"), F.col("l_partkey")).alias("name"))
+    return records.diagnostic_names(lines)
+
+
+_DIAGNOSTIC_NAMES = """WITH n AS (SELECT l_orderkey AS record, l_linenumber AS i, l_suppkey AS parent, CAST((l_orderkey + l_linenumber * 3) % 4 AS INTEGER) AS space, 'n' || l_partkey AS name FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY i DESC, parent DESC, space DESC, name DESC) AS k FROM n WHERE space IN (1, 3)),
+f AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY i, parent, space, name) AS k FROM n WHERE record NOT IN (SELECT record FROM r))
+SELECT record, parent, space, name FROM r WHERE k = 1 UNION ALL SELECT record, parent, space, name FROM f WHERE k = 1"""
+
+
 # --- dumps of file records -----------------------------------------------------------------------
 
 
@@ -471,7 +502,9 @@ def dump_violations(spark, sf_dir):
 
 def index_blocks(spark, sf_dir):
     """Index blocks of a customer's orders, every fifth torn and every seventh free."""
-    kids = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 500).alias("parent"), F.expr("o_orderkey div 500").alias("part")).agg(F.sort_array(F.collect_set("o_orderkey")).alias("kids")).select("parent", F.slice("kids", 1, 20).alias("kids"))
+    kids = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 500).alias("parent"), F.expr("o_orderkey div 500").alias("part")).agg(F.sort_array(F.collect_set("o_orderkey")).alias("kids"))
+    # A block has room for some 30 names, so each run of 20 is a block of its own.
+    kids = kids.select("parent", "kids", F.explode(F.sequence(F.lit(0), F.expr("(size(kids) - 1) div 20"))).alias("block")).select("parent", F.slice("kids", F.expr("cast(20 * block + 1 as int)"), 20).alias("kids"))
 
     def run(batches):
         for batch in batches:
@@ -619,6 +652,9 @@ def _catalog() -> dict[str, tuple]:
         "degrade_to_size": (degrade_to_size, _doc_status(Mode.SIZE) + _STATUS_COUNTS),
         "changed_during_scan": (changed_during_scan, "SELECT CASE WHEN o_orderkey % 23 = 0 OR o_orderkey % 29 = 0 THEN 'ChangedDuringScan' WHEN o_orderkey % 31 = 0 THEN 'AccessDenied' WHEN o_orderkey % 37 = 0 THEN 'ReadError' ELSE 'Identical' END AS status, count(*) AS n FROM orders GROUP BY 1"),
         "problem_filter_errors": (problem_filter_errors, "SELECT CASE WHEN doc_id % 2 = 0 THEN 'AccessDenied' ELSE 'ReadError' END AS status, 'e' || doc_id AS relative_path, 'denied' AS error_message, true AS is_directory FROM documents WHERE doc_id % 9 = 0"),
+        "view_counts": (view_counts, _VIEW_COUNTS),
+        "listed_examples": (listed_examples, _EXAMPLES),
+        "diagnostic_names": (diagnostic_names, _DIAGNOSTIC_NAMES),
         "limit_problems": (limit_problems, _doc_status(Mode.CONTENT) + "SELECT status, relative_path FROM c WHERE status <> 'Identical' ORDER BY CASE status WHEN 'Extra' THEN 0 WHEN 'SizeMismatch' THEN 1 WHEN 'Missing' THEN 2 ELSE 4 END, key LIMIT 25"),
         "csv_cell_escape": (csv_cell_escape, r"""WITH t AS (SELECT doc_id, (['', '=', '+', '-', '@', chr(9)])[CAST(doc_id % 6 + 1 AS INTEGER)] || text AS c FROM documents)
 SELECT doc_id, CASE WHEN left(c, 1) IN ('=', '+', '-', '@', chr(9), chr(13), chr(12)) THEN '"''' || replace(c, '"', '""') || '"' WHEN contains(c, ',') OR contains(c, '"') OR contains(c, chr(10)) OR contains(c, chr(13)) THEN '"' || replace(c, '"', '""') || '"' ELSE c END AS cell FROM t"""),
@@ -649,7 +685,7 @@ SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(c
         "record_dump": (record_dump, f"WITH {_DUMP}, k AS (SELECT parent AS record, string_agg(record || ':' || (record % 5 + 1) || ':' || name, ',' ORDER BY record) AS children FROM r WHERE NOT dir GROUP BY parent) SELECT CAST(r.record AS BIGINT) AS record, CAST(r.record % 5 + 1 AS INTEGER) AS sequence, used AS in_use, dir AS is_directory, CAST(CASE WHEN dir THEN 0 ELSE r.record * 1000 END AS BIGINT) AS size, parent || ':2:' || left(name, 6) || ',' || parent || ':1:' || name AS names, coalesce(children, '') AS children, CASE WHEN dir THEN 2 ELSE 0 END AS runs, CAST(NULL AS VARCHAR) AS error FROM r LEFT JOIN k ON r.record = k.record"),
         "dump_tree": (dump_tree, rf"WITH {_DUMP} SELECT CAST(c.record AS BIGINT) AS record, CASE WHEN c.dir THEN c.name ELSE p.name || '\' || c.name END AS relative_path, CAST(CASE WHEN c.dir THEN 0 ELSE c.record * 1000 END AS BIGINT) AS size, c.dir AS is_directory FROM r c LEFT JOIN r p ON c.parent = p.record WHERE c.used"),
         "dump_violations": (dump_violations, f"WITH {_DUMP} SELECT CAST(parent AS BIGINT) AS parent, CAST(record AS BIGINT) AS record, 'no live record' AS error FROM r WHERE NOT used UNION ALL SELECT 5, 999, 'no live record'"),
-        "index_blocks": (index_blocks, "WITH k AS (SELECT o_custkey % 500 AS parent, o_orderkey // 500 AS part, list_sort(list(DISTINCT o_orderkey))[1:20] AS kids FROM orders GROUP BY 1, 2) SELECT parent, CASE WHEN parent % 7 = 0 OR parent % 5 = 0 THEN '' ELSE array_to_string(list_transform(kids, lambda x: x || ':' || (x % 100) || ':o' || x), ',') END AS children, parent % 7 <> 0 AND parent % 5 = 0 AS damaged FROM k"),
+        "index_blocks": (index_blocks, "WITH k AS (SELECT o_custkey % 500 AS parent, o_orderkey // 500 AS part, list_sort(list(DISTINCT o_orderkey)) AS every FROM orders GROUP BY 1, 2), b AS (SELECT parent, every, unnest(range(0, len(every), 20)) AS first FROM k), r AS (SELECT parent, every[first + 1:first + 20] AS kids FROM b) SELECT parent, CASE WHEN parent % 7 = 0 OR parent % 5 = 0 THEN '' ELSE array_to_string(list_transform(kids, lambda x: x || ':' || (x % 100) || ':o' || x), ',') END AS children, parent % 7 <> 0 AND parent % 5 = 0 AS damaged FROM r"),
         "export_csv_file": (_whole_export(ExportFormat.CSV), _whole_sql(_CSV_LINES, f"chr(65279) || '{export.HEADER.strip()}' || chr(10) || coalesce(string_agg(line || chr(10), '' ORDER BY ord, key), '')")),
         "export_json_file": (_whole_export(ExportFormat.JSON), _whole_sql(_JSON_LINES, "'[' || chr(10) || coalesce(string_agg(line, ',' || chr(10) ORDER BY ord, key), '') || chr(10) || ']' || chr(10)")),
         "snapshot_round_trip": (snapshot_round_trip, f"WITH {_DOC_SIDES} SELECT path AS relative_path, size, false AS is_directory, doc_id, digest, 'D:\\docs' AS root, false AS case_sensitive FROM s"),

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tallystone.functions import paths, text
 from tallystone.operators import classify, content, keying, leafdirs, stats
 from tallystone.sources import cache as caches
-from tallystone.sources import export, snapshot, tree
+from tallystone.sources import export, listing, snapshot, tree
 from tallystone.sources.scratch import fixed, shared_folder
-from tallystone.spec import DigestState, ExportFormat, Mode, ReconcileSpec, Status
+from tallystone.spec import DigestState, Enumeration, ExportFormat, Mode, ReconcileSpec, Status
 from tallystone.streaming.control import Control
 
 
@@ -60,6 +60,14 @@ def filtered(rows: DataFrame, wanted: str) -> DataFrame:
     return rows.where(F.col("status").isin(*[s.value for s in kinds[wanted]]))
 
 
+def examples(results: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` rows by key of each kind: ``only_source``, ``only_dest`` and ``differs`` (in size,
+    type or content). A report's lists: each is a top-k, so no task sorts them all."""
+    kinds = {"only_source": (Status.MISSING,), "only_dest": (Status.EXTRA,), "differs": (Status.SIZE_MISMATCH, Status.CONTENT_MISMATCH)}
+    lists = [results.where(F.col("status").isin(*[s.value for s in of])).orderBy("key", "relative_path").limit(most).withColumn("kind", F.lit(kind)) for kind, of in kinds.items()]
+    return reduce(DataFrame.unionByName, lists)
+
+
 @dataclass
 class Report:
     """What a run did."""
@@ -77,6 +85,7 @@ class Report:
     export_format: ExportFormat | None = None
     snapshot_written: bool = False
     seconds: dict[str, float] = field(default_factory=dict)
+    listed: dict[str, Enumeration] = field(default_factory=dict)
 
 
 SEPARATOR = "/"
@@ -122,6 +131,15 @@ def run(spark: SparkSession, spec: ReconcileSpec, control: Control | None = None
                 report.messages.append(warning)
         kept: list[DataFrame] = []
         source_errors = None
+        dumps = {} if spec.compare else {"source": spec.source_records}
+        dumps |= {"dest": spec.dest_records} if spec.dest else {}
+        use_dumps = spec.enum == Enumeration.RECORDS or spec.enum == Enumeration.AUTO and all(listing.has_dump(spark, d) for d in dumps.values())
+
+        def listed(name: str, root: str) -> tuple[DataFrame, DataFrame]:
+            entries, errors, report.listed[name], message = listing.listed(spark, root, dumps[name], use_dumps, name)
+            report.messages += [message] if message else []
+            return entries, errors
+
         if spec.compare:
             try:
                 saved = snapshot.read(spark, spec.compare)
@@ -134,14 +152,11 @@ def run(spark: SparkSession, spec: ReconcileSpec, control: Control | None = None
                 mode, report.degraded = Mode.SIZE, True
         else:
             try:
-                tree.check_root(spec.source)
+                source, source_errors = listed("source", spec.source)
             except tree.RootError as e:
                 report.source_ok = False
                 report.messages.append(str(e))
                 return report
-            spark.dataSource.register(tree.FileTree)
-            scanned = fixed(spark.read.format("file_tree").load(spec.source), "source")
-            source, source_errors = tree.parts(scanned)
             if not source_errors.where("lost_device").isEmpty():
                 report.source_ok = False
                 report.messages.append("the source was lost during the scan")
@@ -164,13 +179,11 @@ def run(spark: SparkSession, spec: ReconcileSpec, control: Control | None = None
 
         if spec.dest:
             try:
-                tree.check_root(spec.dest)
+                dest, dest_errors = listed("dest", spec.dest)
             except tree.RootError as e:
                 report.dest_ok = False
                 report.messages.append(str(e))
                 return report
-            spark.dataSource.register(tree.FileTree)
-            dest, dest_errors = tree.parts(fixed(spark.read.format("file_tree").load(spec.dest), "dest"))
             if not dest_errors.where("lost_device").isEmpty():
                 report.dest_ok = False
                 report.messages.append("the destination was lost during the scan")

@@ -22,14 +22,17 @@ def _current(spark: SparkSession, path: str):
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
-    """(cache, warning). A cache that isn't there is empty; a damaged one is empty with a warning."""
+    """(cache, warning). A cache that isn't there is empty; a damaged one is empty with a
+    warning: all its pages are read once for that, as damage behind the footer shows only then."""
     empty = spark.createDataFrame([], SCHEMA)
     _, versions = _current(spark, path)
     if not versions:
         return empty, None
     try:
         found = spark.read.parquet(versions[-1].toString())
-        return found.select(*KEYS, "digest"), None
+        found = found.select(*KEYS, "digest")
+        found.agg(F.max(F.xxhash64(*KEYS, "digest"))).first()
+        return found, None
     except Exception as e:
         return empty, f"the digest cache can't be read: {str(e).splitlines()[0]}"
 

@@ -20,7 +20,7 @@ from tallystone.operators import records
 
 # Fixed values of the format: signatures, attribute types and flags.
 FILE, INDX = b"FILE", b"INDX"
-FILE_NAME, DATA, INDEX_ROOT, INDEX_ALLOCATION, END = 0x30, 0x80, 0x90, 0xA0, 0xFFFFFFFF
+TIMES, FILE_NAME, DATA, INDEX_ROOT, INDEX_ALLOCATION, END = 0x10, 0x30, 0x80, 0x90, 0xA0, 0xFFFFFFFF
 IN_USE, DIRECTORY, LAST_ENTRY = 1, 2, 2
 SECTOR = 512
 #: Bytes of a name's fixed part, and of an index entry's and a record's header.
@@ -50,13 +50,13 @@ def unfixed(block: bytes, signature: bytes) -> bytes:
 
 def run_list(data: bytes) -> list[tuple[int, int | None]]:
     """(length, signed step to the run's first cluster; None: no clusters) of each run, to the first
-    zero byte. A run that is cut off or has no length is an error."""
+    zero byte. A run that is cut off, has no length, or more than a volume can have is an error."""
     out, at = [], 0
     while at < len(data) and data[at]:
         of_length, of_step = data[at] & 15, data[at] >> 4
         end = at + 1 + of_length + of_step
         length = int.from_bytes(data[at + 1 : at + 1 + of_length], "little")
-        if end > len(data) or not 1 <= of_length <= 8 or of_step > 8 or not length:
+        if end > len(data) or not 1 <= of_length <= 8 or of_step > 8 or not 0 < length < 1 << 63:
             raise RecordError("a run is damaged")
         out.append((length, int.from_bytes(data[at + 1 + of_length : end], "little", signed=True) if of_step else None))
         at = end
@@ -98,6 +98,8 @@ class Record:
     in_use: bool
     is_directory: bool
     size: int = 0
+    last_write_time: int = 0
+    attributes: int = 0
     names: list[tuple[int, int, int, str]] = field(default_factory=list)
     index: list[tuple[int, int, str | None]] = field(default_factory=list)
     index_block: int | None = None
@@ -124,19 +126,28 @@ def attributes(record: bytes, at: int) -> Iterator[tuple[int, bytes | None, byte
 
 
 def record_of(block: bytes) -> Record:
+    """The record of ``block``; one without any bytes set was never in use."""
+    if block and not any(block):
+        return Record(0, False, False)
     data = unfixed(block, FILE)
     sequence, _, at, flags = struct.unpack_from("<HHHH", data, 16)
     if not RECORD_HEAD <= at <= len(data) - 8:
         raise RecordError("the attributes lie outside")
     out = Record(sequence, bool(flags & IN_USE), bool(flags & DIRECTORY))
     for kind, value, whole in attributes(data, at):
-        if kind == FILE_NAME and value is not None:
+        if kind == TIMES and value is not None:
+            if len(value) < 36:
+                raise RecordError("the times are cut off")
+            out.last_write_time, out.attributes = struct.unpack_from("<q16xI", value, 8)
+        elif kind == FILE_NAME and value is not None:
             if (name := name_of(value)) and name[3]:
                 out.names.append(name)
         elif kind == DATA and not whole[9]:  # streams with a name of their own aren't the file's size
             if value is None and len(whole) < 56:
                 raise RecordError("an attribute is cut off")
-            out.size = len(value) if value is not None else struct.unpack_from("<Q", whole, 48)[0]
+            out.size = len(value) if value is not None else struct.unpack_from("<q", whole, 48)[0]
+            if out.size < 0:
+                raise RecordError("a size is above all volumes")
         elif kind == INDEX_ROOT and value is not None:
             if len(value) < 32:
                 raise RecordError("an index root is cut off")
@@ -150,7 +161,7 @@ def record_of(block: bytes) -> Record:
 _NAME = "struct<parent:bigint,parent_sequence:int,space:int,name:string>"
 _CHILD = "struct<record:bigint,sequence:int,name:string>"
 _RUN = "struct<length:bigint,step:bigint>"
-RECORD_SCHEMA = f"record long, sequence int, in_use boolean, is_directory boolean, size long, names array<{_NAME}>, index array<{_CHILD}>, index_block long, index_runs array<{_RUN}>, error string"
+RECORD_SCHEMA = f"record long, sequence int, in_use boolean, is_directory boolean, size long, names array<{_NAME}>, index array<{_CHILD}>, index_block long, index_runs array<{_RUN}>, last_write_time long, attributes long, error string"
 _structs = lambda **kinds: pa.list_(pa.struct(list(kinds.items())))
 _ARROW_NAMES = _structs(parent=pa.int64(), parent_sequence=pa.int32(), space=pa.int32(), name=pa.string())
 _ARROW_CHILDREN = _structs(record=pa.int64(), sequence=pa.int32(), name=pa.string())
@@ -166,16 +177,16 @@ def parsed(dump: DataFrame) -> DataFrame:
     ``error`` and no more. Null data is damaged data; repeated rows stay rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), _ARROW_NAMES, _ARROW_CHILDREN, pa.int64(), _ARROW_RUNS, pa.string()]
-        names = ["record", "sequence", "in_use", "is_directory", "size", "names", "index", "index_block", "index_runs", "error"]
+        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), _ARROW_NAMES, _ARROW_CHILDREN, pa.int64(), _ARROW_RUNS, pa.int64(), pa.int64(), pa.string()]
+        names = ["record", "sequence", "in_use", "is_directory", "size", "names", "index", "index_block", "index_runs", "last_write_time", "attributes", "error"]
         for batch in batches:
             rows = []
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     r = record_of(data or b"")
-                    rows.append((number, r.sequence, r.in_use, r.is_directory, r.size, _dicts(r.names, _ARROW_NAMES), _dicts(r.index, _ARROW_CHILDREN), r.index_block, _dicts(r.index_runs, _ARROW_RUNS), None))
+                    rows.append((number, r.sequence, r.in_use, r.is_directory, r.size, _dicts(r.names, _ARROW_NAMES), _dicts(r.index, _ARROW_CHILDREN), r.index_block, _dicts(r.index_runs, _ARROW_RUNS), r.last_write_time, r.attributes, None))
                 except (RecordError, struct.error) as e:
-                    rows.append((number, *[None] * 8, str(e)))
+                    rows.append((number, *[None] * 10, str(e)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     return dump.select(F.col("record").cast("long"), F.col("data").cast("binary")).mapInArrow(run, RECORD_SCHEMA)
@@ -201,8 +212,8 @@ def block_children(blocks: DataFrame) -> DataFrame:
 
 
 def tree_of(found: DataFrame, blocks: DataFrame, root: int, separator: str = "\\") -> tuple[DataFrame, DataFrame]:
-    """(entries, violations) of ``parsed`` records and ``block_children``: record, path, size and
-    is_directory of what lies below ``root``; what an index names without a live record, and damaged
+    """(entries, violations) of ``parsed`` records and ``block_children``: record, path, size,
+    is_directory, last_write_time and attributes of what lies below ``root``; what an index names without a live record, and damaged
     blocks and records, so that a caller can tell a scan that isn't complete."""
     live = found.where(F.col("error").isNull())
     names = live.where("in_use").select("record", F.explode("names").alias("n")).select("record", "n.*")
@@ -212,7 +223,7 @@ def tree_of(found: DataFrame, blocks: DataFrame, root: int, separator: str = "\\
     kids, violations = records.children(index, said, live.select("record", "sequence", "in_use"))
     edges = kids.join(records.picked_names(names.select("record", "parent", "space", "name")).select("record", "name"), "record").where(records.user_record(F.col("record"), F.col("name")))
     walked = records.walk(edges.select("record", "parent", "name"), root, separator)
-    entries = walked.join(live.select("record", "size", "is_directory"), "record").select("record", F.col("path").alias("relative_path"), F.when(F.col("is_directory"), 0).otherwise(F.col("size")).cast("long").alias("size"), "is_directory")
+    entries = walked.join(live.select("record", "size", "is_directory", "last_write_time", "attributes"), "record").select("record", F.col("path").alias("relative_path"), F.when(F.col("is_directory"), 0).otherwise(F.col("size")).cast("long").alias("size"), "is_directory", "last_write_time", "attributes")
     bad = violations.select("parent", "record", F.lit("no live record").alias("error"))
     bad = bad.unionByName(blocks.where(F.col("error").isNotNull()).select("parent", F.lit(None).cast("long").alias("record"), "error"))
     return entries, bad.unionByName(found.where(F.col("error").isNotNull()).select(F.lit(None).cast("long").alias("parent"), "record", "error"))
@@ -268,9 +279,10 @@ def _extended(kind: int, size: int, runs: list[tuple[int, int | None]]) -> bytes
     return (struct.pack("<IIBBHHHQQHHIQQQ", kind, whole, 1, 0, 64, 0, 0, 0, 0, 64, 0, 0, size, size, size) + packed).ljust(whole, b"\0")
 
 
-def written_record(sequence: int, flags: int, names: list[tuple[int, int, int, str]], size: int | None = None, children: list[tuple[int, int, str]] | None = None, index_runs: list[tuple[int, int | None]] | None = None, record: int = 0, bytes_: int = 1024) -> bytes:
+def written_record(sequence: int, flags: int, names: list[tuple[int, int, int, str]], size: int | None = None, children: list[tuple[int, int, str]] | None = None, index_runs: list[tuple[int, int | None]] | None = None, record: int = 0, bytes_: int = 1024, last_write_time: int | None = None) -> bytes:
     """A file record; ``size`` is that of a stream outside the record."""
-    body = b"".join(_resident(FILE_NAME, _name(*n)) for n in names)
+    body = b"" if last_write_time is None else _resident(TIMES, struct.pack("<4qI12x", 0, last_write_time, 0, 0, 0))
+    body += b"".join(_resident(FILE_NAME, _name(*n)) for n in names)
     if size is not None:
         body += _extended(DATA, size, [(1, 1)])
     if children is not None:

@@ -33,6 +33,14 @@ class DigestState(StrEnum):
     READ_ERROR = "read_error"
 
 
+class Enumeration(StrEnum):
+    """How a side is listed. AUTO takes dumps of file records if every side that is listed has one."""
+
+    AUTO = "auto"
+    WALK = "walk"
+    RECORDS = "records"
+
+
 class ExportFormat(StrEnum):
     AUTO = "auto"
     CSV = "csv"
@@ -46,7 +54,8 @@ class OptionError(ValueError):
 @dataclass(frozen=True)
 class ReconcileSpec:
     """Options of one run. ``source`` and ``dest`` are tree roots; ``compare`` is a snapshot that
-    stands for the source; ``snapshot_out`` saves the source."""
+    stands for the source; ``snapshot_out`` saves the source. ``source_records`` and ``dest_records`` are
+    folders with dumps of the sides' file records."""
 
     source: str | None = None
     dest: str | None = None
@@ -62,6 +71,9 @@ class ReconcileSpec:
     list_problems: bool = False
     progress: bool = False
     strict_exit: bool = False
+    enum: Enumeration = Enumeration.AUTO
+    source_records: str | None = None
+    dest_records: str | None = None
 
     def checked(self) -> ReconcileSpec:
         if self.compare and self.snapshot_out:

@@ -91,3 +91,19 @@ def test_a_dump_as_a_tree(spark):
     assert [(r.record, r.error) for r in bad.collect() if not r.parent] == [(40, "no FILE block")]
     none = fr.parsed(spark.createDataFrame([], "record long, data binary"))
     assert none.count() == 0 and fr.block_children(spark.createDataFrame([], "parent long, data binary")).count() == 0
+
+
+def test_values_beyond_a_long_are_damage(spark):
+    block = bytearray(fr.written_record(1, 1, [(5, 5, 1, "f")], 123456))
+    at = bytes(block).index((123456).to_bytes(8, "little"))  # the allocated size; the real one follows
+    block[at + 15] = 0x80
+    runs = fr.written_record(1, 3, [(5, 5, 1, "d")], children=[], index_runs=[(2**63, 1)])
+    rows = [(1, block), (2, bytearray(runs)), (3, bytearray(1024)), (4, None)]
+    got = {r.record: r for r in fr.parsed(spark.createDataFrame(rows, "record long, data binary")).collect()}
+    assert "size" in got[1].error and "run" in got[2].error and got[4].error
+    assert got[3].error is None and not got[3].in_use
+
+
+def test_times_and_attributes():
+    got = fr.record_of(fr.written_record(1, 1, [(5, 5, 1, "f")], 7, last_write_time=133_000_000_000_000_000))
+    assert (got.last_write_time, got.attributes, got.size) == (133_000_000_000_000_000, 0, 7)

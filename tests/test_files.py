@@ -11,8 +11,8 @@ from trees import differing, fixture, put
 from tallystone import cli
 from tallystone.operators import content
 from tallystone.plans import reconcile
-from tallystone.sources import cache, export, snapshot, tree
-from tallystone.spec import ExportFormat, Mode, OptionError, ReconcileSpec
+from tallystone.sources import cache, export, file_records, listing, snapshot, tree
+from tallystone.spec import Enumeration, ExportFormat, Mode, OptionError, ReconcileSpec
 from tallystone.streaming import control
 
 
@@ -164,6 +164,65 @@ def test_cache(spark, trees, tmp_path):
     assert cache.read(spark, str(tmp_path / "none"))[0].count() == 0
 
 
+def test_a_cache_with_a_damaged_body_is_empty_with_a_warning(spark, tmp_path):
+    kept = str(tmp_path / "cache")
+    rows = spark.range(1000).selectExpr("concat('/f', id) AS abs_path", "id AS size", "id AS last_write_time", "unhex(sha2(cast(id AS string), 256)) AS digest")
+    cache.save(rows.coalesce(1), kept)
+    file = next(Path(kept).rglob("*.parquet"))
+    data = bytearray(file.read_bytes())
+    data[8 : len(data) // 2] = b"\xff" * (len(data) // 2 - 8)
+    for checksum in file.parent.glob(".*.crc"):
+        checksum.unlink()
+    file.write_bytes(data)
+    found, warning = cache.read(spark, kept)
+    assert "can't be read" in warning and found.count() == 0
+
+
+def dump_of(spark, root, folder, broken=False):
+    """The file records of a tree, as a dump."""
+    numbers = {"": 5} | {str(p.relative_to(root)): i for i, p in enumerate(sorted(root.rglob("*")), 40)}
+    rows = []
+    for path, number in numbers.items():
+        stat, is_dir = os.stat(root / path), (root / path).is_dir()
+        kids = [(numbers[str(p.relative_to(root))], 1, p.name) for p in (root / path).iterdir()] if is_dir else None
+        name = (numbers[str(Path(path).parent).removeprefix(".")], 1, 1, Path(path).name) if path else (5, 1, 3, ".")
+        rows.append((number, bytearray(file_records.written_record(1, 3 if is_dir else 1, [name], None if is_dir else stat.st_size, kids, last_write_time=content.ticks(stat.st_mtime_ns)))))
+    if broken:
+        rows[-1] = (rows[-1][0], bytearray(b"BAAD" + bytes(1020)))
+    spark.createDataFrame(rows, "record long, data binary").write.parquet(f"{folder}/records")
+    spark.createDataFrame([], "parent long, data binary").write.parquet(f"{folder}/blocks")
+    return str(folder)
+
+
+def test_sides_are_listed_from_dumps(spark, trees, tmp_path):
+    differing(*trees)
+    dumps = dict(source_records=dump_of(spark, trees[0], tmp_path / "sr"), dest_records=dump_of(spark, trees[1], tmp_path / "dr"))
+    walked = run(spark, *trees)
+    assert walked.listed == {"source": Enumeration.WALK, "dest": Enumeration.WALK}
+    for options in (dumps, dumps | {"enum": Enumeration.RECORDS}):
+        report = run(spark, *trees, **options)
+        assert report.listed == {"source": Enumeration.RECORDS, "dest": Enumeration.RECORDS}
+        assert report.stats == walked.stats and report.hashed == walked.hashed and not report.messages
+        shown = lambda r: sorted((p.status, p.relative_path, p.size_source, p.size_dest) for p in r.problems.collect())
+        assert shown(report) == shown(walked)
+    one = run(spark, *trees, **(dumps | {"dest_records": None}))  # not all sides have a dump
+    assert one.listed == walked.listed and not one.messages
+    assert run(spark, *trees, enum=Enumeration.WALK, **dumps).listed == walked.listed
+
+
+def test_an_incomplete_dump_is_walked_instead(spark, trees, tmp_path):
+    differing(*trees)
+    dumps = dict(source_records=dump_of(spark, trees[0], tmp_path / "sr"), dest_records=dump_of(spark, trees[1], tmp_path / "dr", broken=True))
+    report = run(spark, *trees, **dumps)
+    assert report.listed == {"source": Enumeration.RECORDS, "dest": Enumeration.WALK}
+    assert len(report.messages) == 1 and "dest: the dump isn't complete" in report.messages[0]
+    assert report.stats == run(spark, *trees).stats
+    with pytest.raises(listing.IncompleteDump):
+        listing.from_records(spark, dumps["dest_records"])
+    report = run(spark, *trees, enum=Enumeration.RECORDS, dest_records=str(tmp_path / "no"))
+    assert len(report.messages) == 2 and report.stats == run(spark, *trees).stats
+
+
 def test_a_changed_file_is_reported_and_not_cached(spark, trees, tmp_path):
     put(trees[0], "f", b"1")
     rows = spark.createDataFrame([(str(trees[0] / "f"), 1, 5)], "abs_path string, size long, last_write_time long")

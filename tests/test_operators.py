@@ -143,3 +143,15 @@ def test_problems_join_once(spark):
     results, _ = reconcile.reconcile(entries(spark, SOURCE), entries(spark, DEST), Mode.SIZE)
     plan = reconcile.problems(results)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join FullOuter") <= 2
+
+
+def test_lists_of_a_report(spark):
+    rows = [("m%d" % i, "Missing") for i in range(4)] + [("x", "Extra"), ("s", "SizeMismatch"), ("c", "ContentMismatch"), ("same", "Identical")]
+    found = reconcile.examples(spark.createDataFrame([(k, k, s) for k, s in rows], "key string, relative_path string, status string"), 2)
+    assert sorted((r.kind, r.key) for r in found.collect()) == [("differs", "c"), ("differs", "s"), ("only_dest", "x"), ("only_source", "m0"), ("only_source", "m1")]
+
+
+def test_names_of_diagnostic_tools(spark):
+    rows = [(1, 0, 5, 3, "a"), (1, 1, 5, 1, "b"), (1, 2, 5, 2, "B~1"), (2, 0, 5, 2, "first"), (2, 1, 5, 0, "later")]
+    names = spark.createDataFrame(rows, "record long, i int, parent long, space int, name string")
+    assert sorted((r.record, r.name) for r in records.diagnostic_names(names).collect()) == [(1, "b"), (2, "first")]
