@@ -26,12 +26,21 @@ def json_line() -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *cells), F.lit("}"))
 
 
+def _ordered(problems: DataFrame) -> DataFrame:
+    return problems.orderBy(*[c for c in ("ord", "key") if c in problems.columns]) if "ord" in problems.columns else problems
+
+
+def write_folder(problems: DataFrame, folder: str, kind: ExportFormat = ExportFormat.CSV) -> None:
+    """The lines of ``write``, without header or brackets, as a folder of text files that executors
+    write; files are in order by their names. For differences that one file or machine can't hold."""
+    _ordered(problems).select((csv_line() if kind == ExportFormat.CSV else json_line()).alias("line")).write.text(folder)
+
+
 def write(problems: DataFrame, file: str, kind: ExportFormat = ExportFormat.AUTO) -> ExportFormat:
     """Write ``problems``, in their order of ``ord`` if they have it."""
     if kind == ExportFormat.AUTO:
         kind = text.infer_format(file)
-    rows = problems.orderBy(*[c for c in ("ord", "key") if c in problems.columns]) if "ord" in problems.columns else problems
-    lines = rows.select((csv_line() if kind == ExportFormat.CSV else json_line()).alias("line"))
+    lines = _ordered(problems).select((csv_line() if kind == ExportFormat.CSV else json_line()).alias("line"))
     with open(file, "wb") as out:
         if kind == ExportFormat.CSV:
             out.write(BOM + HEADER.encode())

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import json
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 VERSION = 1
 COLUMNS = ("relative_path", "size", "last_write_time", "attributes", "file_id", "is_directory", "seq", "digest")
 
 # Fixed values of the binary layout.
 MAGIC, BINARY_VERSION, MOST_PATH, MOST_ENTRIES = 0x49535642, 1, 1 << 24, 1 << 31
+#: Entries of a binary snapshot that a task reads.
+RANGE_ENTRIES = 100_000
 
 
 class SnapshotError(ValueError):
@@ -62,40 +67,90 @@ def write_binary(entries: DataFrame, file: str, root: str, case_sensitive: bool)
                 out.write(bytes(r.digest))
 
 
-def _binary_rows(data: bytes):
+def _exactly(f: BinaryIO, n: int) -> bytes:
+    data = f.read(n)
+    if len(data) < n:
+        raise SnapshotError("damaged snapshot: it is cut off")
+    return data
+
+
+def _header(f: BinaryIO) -> tuple[str, bool, int]:
+    """(root, case policy, number of entries)."""
+    magic, version, exact, n = struct.unpack("<IIBQ", _exactly(f, 17))
+    if magic != MAGIC or version != BINARY_VERSION or n > MOST_PATH:
+        raise SnapshotError("wrong magic number or version")
     try:
-        magic, version, exact, n = struct.unpack_from("<IIBQ", data)
-        if magic != MAGIC or version != BINARY_VERSION or n > MOST_PATH:
-            raise SnapshotError("wrong magic number or version")
-        at = 17 + n
-        root = data[17:at].decode()
-        count = struct.unpack_from("<4Q", data, at)[3]
-        at += 32
-        if count > MOST_ENTRIES:
-            raise SnapshotError("too many entries")
-        rows = []
-        for seq in range(count):
-            (n,) = struct.unpack_from("<Q", data, at)
-            if n > MOST_PATH or at + 8 + n > len(data):
-                raise SnapshotError("a path is too long")
-            path = data[at + 8 : at + 8 + n].decode()
-            at += 8 + n
-            size, time, attributes, file_id, is_dir, hashed = struct.unpack_from("<QQIQBB", data, at)
-            at += 30
-            digest = None
-            if hashed:
-                digest = data[at : at + 32]
-                if len(digest) < 32:
-                    raise SnapshotError("a digest is cut off")
-                at += 32
-            rows.append((path, size, time, attributes, file_id, bool(is_dir), seq, digest))
-    except (struct.error, UnicodeDecodeError) as e:
+        root = _exactly(f, n).decode()
+    except UnicodeDecodeError as e:
         raise SnapshotError(f"damaged snapshot: {e}") from e
-    return rows, root, bool(exact)
+    count = struct.unpack("<4Q", _exactly(f, 32))[3]
+    if count > MOST_ENTRIES:
+        raise SnapshotError("too many entries")
+    return root, bool(exact), count
+
+
+def _rows(f: BinaryIO, first: int, count: int) -> Iterator[tuple]:
+    for seq in range(first, first + count):
+        (n,) = struct.unpack("<Q", _exactly(f, 8))
+        if n > MOST_PATH:
+            raise SnapshotError("a path is too long")
+        try:
+            path = _exactly(f, n).decode()
+        except UnicodeDecodeError as e:
+            raise SnapshotError(f"damaged snapshot: {e}") from e
+        size, time, attributes, file_id, is_dir, hashed = struct.unpack("<QQIQBB", _exactly(f, 30))
+        if max(size, time, file_id) >= 1 << 63:
+            raise SnapshotError("damaged snapshot: a number is too large")
+        yield path, size, time, attributes, file_id, bool(is_dir), seq, _exactly(f, 32) if hashed else None
+
+
+@dataclass
+class _Range(InputPartition):
+    offset: int
+    first: int
+    count: int
+
+
+class _BinaryReader(DataSourceReader):
+    def __init__(self, path: str, ranges: str):
+        self.path, self.ranges = path, ranges
+
+    def partitions(self):
+        return [_Range(*r) for r in json.loads(self.ranges)]
+
+    def read(self, partition):
+        with open(self.path, "rb") as f:
+            f.seek(partition.offset)
+            yield from _rows(f, partition.first, partition.count)
+
+
+class BinarySnapshot(DataSource):
+    """Options: ``path``, and ``ranges`` (offset, first entry, entries), which ``read_binary`` finds."""
+
+    @classmethod
+    def name(cls):
+        return "binary_snapshot"
+
+    def schema(self):
+        return "relative_path string, size long, last_write_time long, attributes long, file_id long, is_directory boolean, seq long, digest binary"
+
+    def reader(self, schema):
+        return _BinaryReader(self.options["path"], self.options.get("ranges", "[]"))
 
 
 def read_binary(spark: SparkSession, file: str) -> Snapshot:
+    """The driver goes through the file once, holding one entry at a time, which finds any damage (a
+    ``SnapshotError``) and where each ``RANGE_ENTRIES`` begin; executors, who must see the path, read
+    these ranges."""
+    ranges = []
     with open(file, "rb") as f:
-        rows, root, exact = _binary_rows(f.read())
-    schema = "relative_path string, size long, last_write_time long, attributes long, file_id long, is_directory boolean, seq long, digest binary"
-    return Snapshot(spark.createDataFrame(rows, schema), root, exact)
+        root, exact, count = _header(f)
+        for first in range(0, count, RANGE_ENTRIES):
+            n = min(RANGE_ENTRIES, count - first)
+            ranges.append((f.tell(), first, n))
+            for _ in _rows(f, first, n):
+                pass
+    spark.dataSource.register(BinarySnapshot)
+    # A source without partitions isn't read, so an empty snapshot has one empty range.
+    entries = spark.read.format("binary_snapshot").option("ranges", json.dumps(ranges or [(0, 0, 0)])).load(file)
+    return Snapshot(entries, root, exact)

@@ -2,7 +2,8 @@
 
 Unlike ``binaryFile`` it lists directories, hidden names and empty directories, and it reports what
 can't be read as rows instead of failing. The root is split into one input partition per top-level
-subtree, so executors list subtrees in parallel; they must all see the root's path.
+subtree, so executors list subtrees in parallel; they must all see the root's path. A directory of very
+many entries is dealt over several partitions by the names' checksums.
 
 A row is an entry or an error::
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import errno
 import os
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +32,9 @@ SCHEMA = "relative_path string, size long, last_write_time long, attributes long
 ENTRY_COLUMNS = ("relative_path", "size", "last_write_time", "attributes", "file_id", "is_directory", "seq")
 #: Subtrees below which a top-level directory with more entries than this is split once more.
 SPLIT_ENTRIES = 1000
+#: Entries of one directory that a task looks at, about, where the driver sees them: in the root, in its
+#: directories, and in those that were split.
+LIST_ENTRIES = 100_000
 _SEQ = 1 << 40
 #: System errors that stand for codes of ``text.DISCONNECT_CODES`` here.
 _LOST = {errno.EIO: 1167, errno.ENODEV: 1167, errno.ENXIO: 1167, errno.ESTALE: 59, errno.ENOTCONN: 64, errno.EHOSTDOWN: 64, errno.ETIMEDOUT: 59}
@@ -61,15 +66,17 @@ def _error(rel: str, e: OSError) -> tuple:
     return (rel, None, None, None, None, True, code, e.strerror or str(e), e.errno in _LOST)
 
 
-def walk(root: str, top: str = "", deep: bool = True, separator: str = "/") -> Iterator[tuple]:
+def walk(root: str, top: str = "", deep: bool = True, separator: str = "/", part: int = 0, parts: int = 1) -> Iterator[tuple]:
     """Entries and errors below ``root``/``top``; links to directories are listed, not followed.
-    ``deep=False`` lists that directory alone."""
+    ``deep=False`` lists that directory alone, and of it the ``part`` of ``parts`` that names fall into."""
     stack = [top]
     while stack:
         rel = stack.pop()
         try:
             with os.scandir(os.path.join(root, *rel.split(separator)) if rel else root) as it:
                 for entry in it:
+                    if parts > 1 and zlib.crc32(os.fsencode(entry.name)) % parts != part:
+                        continue
                     path = f"{rel}{separator}{entry.name}" if rel else entry.name
                     try:
                         row = _entry(entry, path)
@@ -84,7 +91,8 @@ def walk(root: str, top: str = "", deep: bool = True, separator: str = "/") -> I
         except FileNotFoundError:
             continue
         except OSError as e:
-            yield _error(rel, e)
+            if part == 0:
+                yield _error(rel, e)
 
 
 @dataclass
@@ -92,6 +100,8 @@ class _Subtree(InputPartition):
     number: int
     top: str
     deep: bool
+    part: int = 0
+    parts: int = 1
 
 
 class _Reader(DataSourceReader):
@@ -100,28 +110,34 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         check_root(self.root)
-        found = [_Subtree(0, "", False)]
+        found: list[_Subtree] = []
 
         def add(rel: str, level: int) -> None:
             full = os.path.join(self.root, *rel.split(self.separator)) if rel else self.root
             try:
-                names = sorted(e.name for e in os.scandir(full) if e.is_dir(follow_symlinks=False))
-                wide = level == 0 or len(names) > SPLIT_ENTRIES and level < 3
+                names, entries = [], 0
+                with os.scandir(full) as it:
+                    for e in it:
+                        entries += 1
+                        if e.is_dir(follow_symlinks=False):
+                            names.append(e.name)
+                parts = -(-entries // LIST_ENTRIES)
+                wide = level == 0 or (len(names) > SPLIT_ENTRIES or parts > 1) and level < 3
             except OSError:
                 names, wide = [], False
             if not wide:
                 found.append(_Subtree(len(found), rel, True))
                 return
-            if level:
-                found.append(_Subtree(len(found), rel, False))
-            for name in names:
+            for part in range(max(1, parts)):
+                found.append(_Subtree(len(found), rel, False, part, max(1, parts)))
+            for name in sorted(names):
                 add(f"{rel}{self.separator}{name}" if rel else name, level + 1)
 
         add("", 0)
         return found
 
     def read(self, partition):
-        for i, row in enumerate(walk(self.root, partition.top, partition.deep, self.separator)):
+        for i, row in enumerate(walk(self.root, partition.top, partition.deep, self.separator, partition.part, partition.parts)):
             yield (*row[:6], partition.number * _SEQ + i, *row[6:])
 
 

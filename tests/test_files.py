@@ -40,6 +40,21 @@ def test_tree_lists_hidden_and_empty_and_does_not_follow_links(spark, tmp_path):
     assert entries.select("seq").distinct().count() == len(got)
 
 
+def test_a_flat_directory_is_listed_in_parts(spark, tmp_path, monkeypatch):
+    for i in range(60):
+        put(tmp_path, f"flat/f{i}", b"1")
+        put(tmp_path, f"g{i}", b"1")
+    put(tmp_path, "flat/sub/x", b"1")
+    monkeypatch.setattr(tree, "LIST_ENTRIES", 10)
+    ranges = tree.FileTree({"path": str(tmp_path)}).reader(None).partitions()
+    assert [(p.top, p.deep, p.parts) for p in ranges] == [("", False, 7)] * 7 + [("flat", False, 7)] * 7 + [("flat/sub", True, 1)]
+    rows = [r for p in ranges for r in tree.FileTree({"path": str(tmp_path)}).reader(None).read(p)]
+    assert sorted(r[0] for r in rows) == sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*"))
+    assert len({r[6] for r in rows}) == len(rows)
+    entries, _ = tree.scan(spark, str(tmp_path))
+    assert entries.count() == len(rows)
+
+
 def test_differing_trees_by_content(spark, trees):
     differing(*trees)
     report = run(spark, *trees)
@@ -133,6 +148,32 @@ def test_snapshot_case_policy_overrides(spark, trees, tmp_path):
     assert (report.stats["missing_files"], report.stats["extra_files"]) == (1, 1)
 
 
+def test_binary_snapshots_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshot, "RANGE_ENTRIES", 7)
+    rows = spark.range(40).selectExpr("concat('d/', id) AS relative_path", "id AS size", "id AS last_write_time", "id AS attributes", "id AS file_id", "false AS is_directory", "id AS seq", "IF(id % 2 = 0, unhex(sha2(cast(id AS string), 256)), NULL) AS digest")
+    file = str(tmp_path / "s.bin")
+    snapshot.write_binary(rows, file, "/", False)
+    back = snapshot.read_binary(spark, file).entries
+    assert back.rdd.getNumPartitions() == 6
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    snapshot.write_binary(rows.limit(0), file, "/", False)
+    assert snapshot.read_binary(spark, file).entries.count() == 0
+    snapshot.write_binary(rows.limit(1), file, "/", False)
+    data = bytearray(Path(file).read_bytes())
+    data[data.index(b"d/0")] = 0xFF
+    Path(file).write_bytes(data)
+    with pytest.raises(snapshot.SnapshotError):
+        snapshot.read_binary(spark, file)
+
+
+def test_exports_as_folders(spark, tmp_path):
+    rows = spark.range(100).selectExpr("cast(id % 3 AS int) AS ord", "cast(id AS string) AS key", "'Missing' AS status", "concat('p', id) AS relative_path", "id AS size_source", "0L AS size_dest", "cast(NULL AS binary) AS hash_source", "cast(NULL AS binary) AS hash_dest")
+    export.write(rows, str(tmp_path / "o.csv"))
+    export.write_folder(rows, str(tmp_path / "folder"))
+    lines = [line for f in sorted((tmp_path / "folder").glob("part-*")) for line in f.read_text().splitlines()]
+    assert lines == (tmp_path / "o.csv").read_text("utf-8-sig").splitlines()[1:]
+
+
 def test_binary_snapshots(spark, tmp_path):
     rows = [("é/x", 5, 7, 32, 9, False, 0, bytearray(range(32))), ("é", 0, 1, 16, 2, True, 1, None)]
     df = spark.createDataFrame(rows, "relative_path string, size long, last_write_time long, attributes long, file_id long, is_directory boolean, seq long, digest binary")
