@@ -501,7 +501,10 @@ def dump_violations(spark, sf_dir):
 
 
 def index_blocks(spark, sf_dir):
-    """Index blocks of a customer's orders, every fifth torn and every seventh free."""
+    """Index blocks of a customer's orders, every fifth torn and every seventh free.
+
+    A reference of 0 stands for no file, so sequences are written from 1, as volumes do, and order 0
+    is a child like the others."""
     kids = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 500).alias("parent"), F.expr("o_orderkey div 500").alias("part")).agg(F.sort_array(F.collect_set("o_orderkey")).alias("kids"))
     # A block has room for some 30 names, so each run of 20 is a block of its own.
     kids = kids.select("parent", "kids", F.explode(F.sequence(F.lit(0), F.expr("(size(kids) - 1) div 20"))).alias("block")).select("parent", F.slice("kids", F.expr("cast(20 * block + 1 as int)"), 20).alias("kids"))
@@ -510,7 +513,7 @@ def index_blocks(spark, sf_dir):
         for batch in batches:
             out = []
             for parent, kids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                block = bytearray(file_records.written_block([(k, k % 100, f"o{k}") for k in kids], parent))
+                block = bytearray(file_records.written_block([(k, k % 100 + 1, f"o{k}") for k in kids], parent))
                 if parent % 7 == 0:
                     block = bytearray(len(block))
                 elif parent % 5 == 0:
@@ -519,7 +522,7 @@ def index_blocks(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["parent", "data"])
 
     found = file_records.block_children(kids.mapInArrow(run, "parent long, data binary"))
-    return found.select("parent", F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["record"], c["sequence"], c["name"])), ",").alias("children"), F.col("error").isNotNull().alias("damaged"))
+    return found.select("parent", F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["record"], c["sequence"] - 1, c["name"])), ",").alias("children"), F.col("error").isNotNull().alias("damaged"))
 
 
 # --- real files ----------------------------------------------------------------------------------

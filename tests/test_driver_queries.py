@@ -46,3 +46,11 @@ def test_texts_that_begin_alike_are_not_repeats(spark, tmp_path):
     assert sorted(r.doc_id for r in found) == [2, 3]
     counts = {r.status: r.n for r in entry.queries()["dest_duplicates_extra"](spark, str(tmp_path)).collect()}
     assert counts == {"Identical": 1, "Extra": 2}
+
+
+def test_order_0_is_a_child_of_its_index_block(spark, tmp_path):
+    spark.createDataFrame([(0, 186), (1, 186), (500, 186), (2, 5), (3, 7)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    found = entry.queries()["index_blocks"](spark, str(tmp_path))
+    sql = duckdb.connect().sql(entry.oracle_sql()["index_blocks"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'"))
+    assert sorted(tuple(r) for r in found.select(*sql.columns).collect()) == sorted(sql.fetchall())
+    assert (186, "0:0:o0,1:1:o1", False) in found.collect()

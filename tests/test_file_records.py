@@ -107,3 +107,9 @@ def test_values_beyond_a_long_are_damage(spark):
 def test_times_and_attributes():
     got = fr.record_of(fr.written_record(1, 1, [(5, 5, 1, "f")], 7, last_write_time=133_000_000_000_000_000))
     assert (got.last_write_time, got.attributes, got.size) == (133_000_000_000_000_000, 0, 7)
+
+
+def test_a_reference_of_0_is_not_written():
+    with pytest.raises(ValueError, match="reference of 0"):
+        fr.written_block([(0, 0, "a")])
+    assert fr.index_entries(fr.unfixed(fr.written_block([(0, 1, "a")]), fr.INDX)[24:]) == [(0, 1, "a")]
