@@ -17,8 +17,9 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or unlike all that is known of their likeliest language, go."""
-    network = bytecnn.fit(docs)
+    """Documents without a letter, or unlike all that is known of their likeliest language, go. All
+    labelled documents tell what is known: one in four the levels, the others the language."""
+    network = bytecnn.fit_all(docs)
     found = bytecnn.predict(docs, network, keep=docs.columns, likelihood=True)
     clear = F.col("lang_pred") != bytecnn.UNKNOWN
     for language, least in bytecnn.least_likelihoods(docs, network).items():

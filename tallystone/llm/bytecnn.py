@@ -1,8 +1,8 @@
 """Language identification with a byte convolutional network (operator 10).
 
 Windows of a fixed number of bytes go through byte embeddings, convolutions of several widths, a
-maximum over the window's positions, and a softmax layer. The network is trained in numpy on a
-bounded sample of labelled rows. A text's prediction is the mean of the log-probabilities of all of
+maximum over the window's positions, and a softmax layer. The network is trained in numpy: by ``fit``
+on a bounded sample of labelled rows, by ``fit_all`` on all of them. A text's prediction is the mean of the log-probabilities of all of
 its windows, weighted by their bytes, so every byte of a text counts.
 
 For prediction, embedding and filter are multiplied out: a filter's response is a sum of one table
@@ -12,7 +12,7 @@ row per byte (or byte pair), which takes gathers instead of matrix products.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +34,13 @@ SAMPLE_ROWS = 50_000
 WINDOWS_PER_ROW = 6
 EPOCHS = 4
 UNKNOWN = "und"
+#: Bytes of text (about) in a group of rows that ``fit_all`` goes through in one sequence, and the rate there.
+GROUP_BYTES = 8 << 20
+REFINING_RATE = 0.002
+#: A rare language's windows weigh so many times more than average ones at most, or a few would move the network.
+HEAVIEST = 64
+#: Averaged weights are summed as multiples of 1 / this, exactly, whatever the order.
+WEIGHT_UNITS = 1 << 24
 #: Every remainder of crc32(id) by 4 but this one may be learned from.
 HELD_OUT = 2
 LETTER = r"\p{L}"
@@ -41,6 +48,8 @@ LETTER = r"\p{L}"
 TYPICAL_PAIRS = 32
 #: So many times less likely, a byte, than in the median held-out row: a text of no learned language.
 LESS_LIKELY = 16
+#: Likelihoods of all held-out rows are counted in steps of 1 / this.
+LIKELIHOOD_STEPS = 256
 
 
 def cut_windows(lengths: np.ndarray, size: int = WINDOW, overlap: int = max(WIDTHS) - 1) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +67,18 @@ def fill_windows(flat: np.ndarray, begins: np.ndarray, ends: np.ndarray, size: i
     return np.where(at < ends[:, None], flat[np.minimum(at, len(flat) - 1)], 0).astype(np.uint8)
 
 
+def all_windows(text: bytes, size: int = WINDOW, overlap: int = max(WIDTHS) - 1) -> np.ndarray:
+    """Windows of a text that isn't empty, from its begin to its end. As in ``fit`` one in three is
+    short; each run of bytes as wide as the widest filter lies in one."""
+    rng, n = np.random.default_rng(zlib.crc32(text)), -(-len(text) // (2 * (size - overlap)))
+    sizes = np.full((n, 3), size)
+    sizes[:, 0] = rng.integers(8, size + 1, n)
+    sizes = sizes.reshape(-1)
+    begins = np.cumsum(sizes - overlap) - (sizes - overlap)
+    inside = begins < max(1, len(text) - overlap)
+    return fill_windows(np.frombuffer(text, np.uint8), begins[inside], np.minimum(begins + sizes, len(text))[inside], size)
+
+
 @dataclass
 class Network:
     languages: list[str]
@@ -72,6 +93,10 @@ class Network:
     def __post_init__(self):
         self._tables = None
 
+    def params(self) -> dict[str, np.ndarray]:
+        """What is trained, in a fixed order."""
+        return {"e": self.embedding, "d": self.dense, "c": self.bias} | {f"{k}{w}": v[w] for w in WIDTHS for k, v in (("k", self.kernels), ("b", self.biases))}
+
     def tables(self) -> dict[int, list[np.ndarray]]:
         """Per width: a table for each pair of neighbouring bytes and one for a last single byte."""
         if self._tables is None:
@@ -105,18 +130,23 @@ class Network:
         return out
 
 
-def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = EPOCHS, seed: int = 7, rate: float = 0.01, batch: int = 64) -> Network:
-    """Adam on the cross-entropy of single windows, classes weighted to equal shares."""
+def network_of(languages: list[str], params: dict[str, np.ndarray]) -> Network:
+    return Network(languages, params["e"], {w: params[f"k{w}"] for w in WIDTHS}, {w: params[f"b{w}"] for w in WIDTHS}, params["d"], params["c"])
+
+
+def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = EPOCHS, seed: int = 7, rate: float = 0.01, batch: int = 64, start: dict[str, np.ndarray] | None = None, weight: np.ndarray | None = None) -> Network:
+    """Adam on the cross-entropy of single windows, from random weights or ``start``; classes are
+    weighted by ``weight``, or to equal shares."""
     rng = np.random.default_rng(seed)
     n_classes, total = len(languages), FILTERS * len(WIDTHS)
     params = {"e": rng.normal(0, 0.5, (256, EMBEDDING)), "d": rng.normal(0, 0.2, (total, n_classes)), "c": np.zeros(n_classes)}
     for w in WIDTHS:
         params[f"k{w}"] = rng.normal(0, 1 / np.sqrt(w * EMBEDDING), (w, EMBEDDING, FILTERS))
         params[f"b{w}"] = np.zeros(FILTERS)
-    params = {k: v.astype(np.float32) for k, v in params.items()}
+    params = {k: v.astype(np.float32) for k, v in (start or params).items()}
     first, second = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
     counts = np.bincount(labels, minlength=n_classes)
-    weight = (len(labels) / (n_classes * np.maximum(counts, 1))).astype(np.float32)
+    weight = (len(labels) / (n_classes * np.maximum(counts, 1)) if weight is None else weight).astype(np.float32)
     t = 0
     for epoch in range(epochs):
         for picked in np.array_split(rng.permutation(len(windows)), max(1, len(windows) // batch)):
@@ -152,17 +182,25 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.001 * (g * g - second[k])
                 params[k] -= now * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-7)
-    return Network(languages, params["e"], {w: params[f"k{w}"] for w in WIDTHS}, {w: params[f"b{w}"] for w in WIDTHS}, params["d"], params["c"])
+    return network_of(languages, params)
 
 
 def learn_pairs(network: Network, windows: np.ndarray, labels: np.ndarray) -> None:
     """Set ``pairs`` and ``typical`` from single windows; zeros at their ends don't count."""
-    network.pairs = np.empty((len(network.languages), 65536), np.float32)
-    network.typical = np.empty(len(network.languages))
+    counts = []
     for i in range(len(network.languages)):
         x = windows[labels == i].astype(np.intp)
         inside = np.arange(1, x.shape[1]) < (x.shape[1] - (x[:, ::-1] != 0).argmax(axis=1))[:, None]
-        count = np.bincount((x[:, :-1] << 8 | x[:, 1:])[inside], minlength=65536).reshape(256, 256)
+        counts.append(np.bincount((x[:, :-1] << 8 | x[:, 1:])[inside], minlength=65536))
+    set_pairs(network, counts)
+
+
+def set_pairs(network: Network, counts: Iterable[np.ndarray]) -> None:
+    """Set ``pairs`` and ``typical`` from the number of each byte pair in each language."""
+    network.pairs = np.empty((len(network.languages), 65536), np.float32)
+    network.typical = np.empty(len(network.languages))
+    for i, count in enumerate(counts):
+        count = count.reshape(256, 256)
         share = (count + 0.1) / (count.sum(axis=1, keepdims=True) + 25.6)
         network.pairs[i] = np.log(share).reshape(-1)
         network.typical[i] = (count.reshape(-1) * network.pairs[i]).sum() / max(1, count.sum())
@@ -230,21 +268,85 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     return network
 
 
-def least_likelihoods(df: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> dict[str, float]:
-    """Per predicted language, the likelihood below which a text is in no learned language, from
-    about ``rows_per_language`` held-out ids of each label, bounded as in ``fit``; 99 in 100 of these
-    reach it at least. A language that no held-out row has gets the least level of the others, and
-    none if there are no held-out rows."""
-    sample = network and _sample(df, held_out(id_col), id_col, text_col, label_col, rows_per_language)
-    if not sample:
+def _usable(id_col: str, text_col: str, label_col: str):
+    return F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) > 0)
+
+
+def fit_all(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", **options) -> Network | None:
+    """Train on every byte of all labelled rows that aren't held out; None if there is no such row.
+
+    ``fit`` gives the first weights and the languages (the ``LANGUAGES`` most frequent). Rows are dealt
+    by hash into groups of about ``GROUP_BYTES``; each goes from there through all windows of its
+    texts, and the network is the mean of the groups' weights. ``pairs`` and ``typical`` follow from
+    the counts of all byte pairs. Neither depends on how the rows are partitioned. The driver gets
+    the weights, and at most 65,536 counts of each language.
+    """
+    first = fit(df, id_col, text_col, label_col, **options)
+    if first is None:
+        return None
+    languages, start = first.languages, first.params()
+    number = {label: i for i, label in enumerate(languages)}
+    rows = df.where(_usable(id_col, text_col, label_col) & ~held_out(id_col) & F.col(label_col).isin(languages))
+    rows = rows.select(F.col(label_col).alias("label"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(id_col, text_col).alias("place"))
+    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    total = sum(sizes.values())
+    weight = np.minimum([total / (len(languages) * sizes[label]) for label in languages], HEAVIEST)
+
+    def refined(group: pa.Table) -> pa.Table:
+        read = sorted(zip(*(group.column(c).to_pylist() for c in ("place", "label", "text")), strict=True))
+        cut = [all_windows(text) for _, _, text in read]
+        labels = np.repeat([number[label] for _, label, _ in read], [len(c) for c in cut])
+        found = train(np.concatenate(cut), labels, languages, epochs=1, rate=REFINING_RATE, start=start, weight=weight)
+        values = np.concatenate([v.reshape(-1) for v in found.params().values()])
+        # Weights are language -1; then the number of each byte pair that a language has.
+        out = [(np.full(len(values), -1), np.arange(len(values)), np.rint(values.astype(np.float64) * WEIGHT_UNITS).astype(np.int64))]
+        for label in sorted({label for _, label, _ in read}):
+            count = np.zeros(65536, np.int64)
+            for _, of, text in read:
+                if of == label:
+                    x = np.frombuffer(text, np.uint8).astype(np.uint16)
+                    if len(x) > 4096:
+                        count += np.bincount(x[:-1] << 8 | x[1:], minlength=65536)
+                    else:
+                        found_pairs, n = np.unique(x[:-1] << 8 | x[1:], return_counts=True)
+                        count[found_pairs] += n
+            at = np.flatnonzero(count)
+            out.append((np.full(len(at), number[label]), at, count[at]))
+        return pa.table([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64()), strict=True)], ["language", "at", "value"])
+
+    groups = F.pmod(F.col("place"), F.lit(-(-total // GROUP_BYTES)))
+    sums = rows.groupBy(groups.alias("group")).applyInArrow(refined, "language int, at int, value long").groupBy("language", "at").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    flat, counts = np.zeros(sum(v.size for v in start.values())), np.zeros((len(languages), 65536), np.int64)
+    for r in sums.toLocalIterator():
+        if r.language < 0:
+            flat[r.at] = r.value / r.n / WEIGHT_UNITS
+        else:
+            counts[r.language, r.at] = r.value
+    ends = np.cumsum([v.size for v in start.values()])
+    parts = np.split(flat.astype(np.float32), ends[:-1])
+    network = network_of(languages, {k: part.reshape(v.shape) for (k, v), part in zip(start.items(), parts, strict=True)})
+    set_pairs(network, counts)
+    return network
+
+
+def least_likelihoods(df: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> dict[str, float]:
+    """Per predicted language, the likelihood below which a text is in no learned language, from all
+    labelled held-out rows, counted in steps of 1 / ``LIKELIHOOD_STEPS``; 99 in 100 of these reach it
+    at least. A language that no held-out row has gets the least level of the others, and none if
+    there are no held-out rows."""
+    if network is None:
         return {}
-    rows = sample[0]
-    found: dict[str, list[float]] = {}
-    for r in predict(rows, network, "id", "text", likelihood=True).where(F.col("lang_pred") != UNKNOWN).select("lang_pred", "likelihood").collect():
-        found.setdefault(r.lang_pred, []).append(r.likelihood)
+    rows = df.where(_usable(id_col, text_col, label_col) & held_out(id_col)).select(id_col, text_col)
+    step = F.floor(F.col("likelihood") * LIKELIHOOD_STEPS).alias("step")
+    counted = predict(rows, network, id_col, text_col, likelihood=True).where(F.col("lang_pred") != UNKNOWN).groupBy("lang_pred", step).count()
+    found: dict[str, list[tuple[int, int]]] = {}
+    for r in counted.collect():
+        found.setdefault(r.lang_pred, []).append((r.step, r["count"]))
     levels = {}
-    for language, values in found.items():
-        low, middle = np.quantile(values, (0.01, 0.5))
+    for language, steps in found.items():
+        at, n = np.array(sorted(steps)).T
+        upto = np.cumsum(n)
+        low, middle = (at[np.searchsorted(upto, share * upto[-1])] / LIKELIHOOD_STEPS for share in (0.01, 0.5))
         levels[language] = float(min(low, middle - np.log(LESS_LIKELY)))
     return {language: levels.get(language, min(levels.values())) for language in network.languages} if levels else {}
 

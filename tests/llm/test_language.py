@@ -123,3 +123,53 @@ def test_gradient_of_a_step(monkeypatch):
             if abs(slope) > 1e-3:
                 assert np.sign(moved[at]) == -np.sign(slope)
     assert loss(after) < loss(start)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 255, 256, 257, 600, 5000])
+def test_all_windows_hold_every_run_of_bytes(n):
+    text = np.random.default_rng(n).integers(1, 256, n, dtype=np.uint8).tobytes()
+    found = bytecnn.all_windows(text)
+    widest = min(n, max(bytecnn.WIDTHS))
+    runs = {bytes(w[i : i + widest]) for w in found for i in range(bytecnn.WINDOW - widest + 1)}
+    assert {text[i : i + widest] for i in range(n - widest + 1)} <= runs
+    assert all(w.rstrip(b"\0") in text for w in map(bytes, found))
+
+
+def test_all_rows_are_learned_from(spark, network, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    few = {"rows_per_language": 40, "epochs": 2}  # of the first weights only
+    labelled = docs.where(bytecnn.held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+
+    def right(network):
+        found = bytecnn.predict(labelled, network, keep=["lang"]).collect()
+        return np.mean([r.lang == r.lang_pred for r in found]), np.mean([r.score for r in found])
+
+    one_group = right(bytecnn.fit_all(docs, **few))
+    monkeypatch.setattr(bytecnn, "GROUP_BYTES", 300_000)
+    got = bytecnn.fit_all(docs, **few)
+    counts = np.zeros((len(got.languages), 256, 256))
+    for r in docs.where(~bytecnn.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).collect():
+        x = np.frombuffer(r.text.encode(), np.uint8)
+        np.add.at(counts[got.languages.index(r.lang)], (x[:-1], x[1:]), 1)
+    want = np.log((counts + 0.1) / (counts.sum(axis=2, keepdims=True) + 25.6)).reshape(len(counts), -1)
+    assert got.languages == network.languages and got.pairs == pytest.approx(want, abs=1e-4)
+    first = bytecnn.fit(docs, **few)
+    assert all((a != b).any() for a, b in zip(got.params().values(), first.params().values(), strict=True))
+    again = bytecnn.fit_all(docs.repartition(7), **few)
+    assert all((a == b).all() for a, b in zip(got.params().values(), again.params().values(), strict=True)) and (got.pairs == again.pairs).all()
+    begin, groups = right(first), right(got)
+    assert one_group[0] >= 0.99 and one_group[1] > groups[1] > begin[1] and groups[0] >= begin[0]
+    assert bytecnn.fit_all(docs.where("lang is null")) is None
+
+
+def test_levels_are_those_of_all_held_out_rows(spark, network):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    many = docs.crossJoin(spark.range(30).withColumnRenamed("id", "k")).withColumn("doc_id", F.col("doc_id") * 30 + F.col("k")).where(F.col("lang").isNotNull())
+    got = bytecnn.least_likelihoods(many, network)
+    found = {}
+    for r in bytecnn.predict(many.where(bytecnn.held_out()), network, likelihood=True).where("lang_pred != 'und'").collect():
+        found.setdefault(r.lang_pred, []).append(r.likelihood)
+    assert sum(map(len, found.values())) > 6000 and got.keys() == found.keys()
+    for language, values in found.items():
+        low, middle = (sorted(values)[int(np.ceil(share * len(values))) - 1] for share in (0.01, 0.5))
+        assert 0 <= min(low, middle - np.log(bytecnn.LESS_LIKELY)) - got[language] <= 1 / bytecnn.LIKELIHOOD_STEPS
